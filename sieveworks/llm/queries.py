@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import chat, quality
+from sieveworks.llm import chat, packing, piece_bpe, quality
 from sieveworks.llm._common import table
 
 
+def public_file(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_file("piece_bpe_32k.model")
+    coded = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"))
     return book.select(
@@ -34,7 +54,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_sentencepiece, op10_chat_formatting)}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LINE_WORD = r"'[^\x20\x09-\x0D]'"
