@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import chat, packing, piece_bpe, quality
+from sieveworks.llm import chat, html_text, packing, pii, piece_bpe, quality, secret_scan, topk
 from sieveworks.llm._common import table
 
 
@@ -37,6 +37,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _kinds(spans: str, kinds: tuple[str, ...]) -> list:
+    def of(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return [of(kind).alias(f"n_{kind}") for kind in kinds]
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_kinds("base_spans", pii.KINDS[:4]), F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_kinds("base_spans", secret_scan.KINDS[:3]), F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(
@@ -54,7 +84,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_sentencepiece, op10_chat_formatting)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_quality_rules, op5_sentencepiece, op6_personal_data, op7_secrets, op8_main_text, op9_top_k, op10_chat_formatting,
+    )
+}
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LINE_WORD = r"'[^\x20\x09-\x0D]'"
@@ -94,4 +129,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op2_quality_rules": _OP2, "op10_chat_formatting": _OP10}
+_OP9 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op9_top_k": _OP9, "op2_quality_rules": _OP2, "op10_chat_formatting": _OP10}
