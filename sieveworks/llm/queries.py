@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import chat, html_text, packing, pii, piece_bpe, quality, secret_scan, topk
+from sieveworks.llm import chat, html_text, jaccard, line_dedup, packing, pii, piece_bpe, quality, secret_scan, topk
 from sieveworks.llm._common import table
 
 
@@ -20,6 +20,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_lines_gone").cast("long").alias("n_gone"), F.col("_near_gone").cast("long").alias("n_near"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_file("piece_bpe_32k.model")
     coded = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
@@ -87,7 +96,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_quality_rules, op5_sentencepiece, op6_personal_data, op7_secrets, op8_main_text, op9_top_k, op10_chat_formatting,
+        op1_best_fit_packing, op2_quality_rules, op3_line_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_personal_data, op7_secrets, op8_main_text, op9_top_k,
+        op10_chat_formatting,
     )
 }
 
@@ -138,4 +148,38 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-ORACLE_SQL = {"op9_top_k": _OP9, "op2_quality_rules": _OP2, "op10_chat_formatting": _OP10}
+#: Distinct lines of five words or more with their first place; every deletion and gap of each; the earliest line of each of these.
+_OP3 = """
+WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, pos, ls[pos] AS line, string_split(ls[pos], ' ') AS w, CAST(doc_id AS HUGEINT) * 2147483648 + pos AS place
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM a)),
+c AS (SELECT * FROM l WHERE len(w) >= 5),
+u AS (SELECT line, any_value(w) AS w, min(place) AS place FROM c GROUP BY line),
+k AS (SELECT line, place, FALSE AS gap, md5(array_to_string(w[:i - 1], ' ') || chr(31) || array_to_string(w[i + 1:], ' ')) AS key
+      FROM (SELECT line, place, w, unnest(range(1, len(w) + 1)) AS i FROM u)
+      UNION ALL
+      SELECT line, place, TRUE, md5(array_to_string(w[:i], ' ') || chr(31) || array_to_string(w[i + 1:], ' '))
+      FROM (SELECT line, place, w, unnest(range(0, len(w) + 1)) AS i FROM u)),
+m AS (SELECT key, min(place) FILTER (NOT gap) AS d, min(place) FILTER (gap) AS g FROM k GROUP BY key),
+n AS (SELECT DISTINCT k.line FROM k JOIN m USING (key) WHERE m.d < k.place OR (NOT k.gap AND m.g < k.place)),
+f AS (SELECT l.doc_id, l.pos, l.line, coalesce(l.place > u.place, FALSE) AS equal, n.line IS NOT NULL AS near
+      FROM l LEFT JOIN u ON l.line = u.line LEFT JOIN n ON l.line = n.line),
+t AS (SELECT doc_id, count(*) FILTER (equal OR near) AS n_gone, count(*) FILTER (near AND NOT equal) AS n_near,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT equal AND NOT near), '') AS text FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_gone, 0) AS n_gone, coalesce(n_near, 0) AS n_near, sha256(CASE WHEN d.text IS NULL THEN NULL ELSE t.text END) AS text_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+_OP4 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+ORACLE_SQL = {"op3_line_dedup": _OP3, "op4_ngram_jaccard": _OP4, "op9_top_k": _OP9, "op2_quality_rules": _OP2, "op10_chat_formatting": _OP10}
