@@ -29,7 +29,7 @@ MEASURES = (
 RULES = (
     ("too_few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbol_density", "10 * n_symbols > 4 * n_words"),
+    ("symbol_density", "10 * n_symbols > 3 * n_words"),
     ("word_length_low", "2 * word_chars < 5 * n_words"),
     ("word_length_high", "word_chars > 14 * n_words"),
     ("duplicate_lines", "n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines"),

@@ -120,7 +120,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
              length(regexp_replace(t, '[^!]', '', 'g')) AS n_bangs
       FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN l ON d.doc_id = l.doc_id),
 b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-             + CASE WHEN 10 * n_symbols > 4 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * word_chars < 5 * n_words THEN 8 ELSE 0 END
+             + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * word_chars < 5 * n_words THEN 8 ELSE 0 END
              + CASE WHEN word_chars > 14 * n_words THEN 16 ELSE 0 END
              + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines THEN 32 ELSE 0 END
              + CASE WHEN 100 * n_upper_words > 50 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * n_bangs > 60 * n_words THEN 128 ELSE 0 END AS failed_bits FROM m)
