@@ -95,4 +95,4 @@ def inside_any(paths: DataFrame, path: str, folders: DataFrame, folder: str, sco
     hit = paths.select(*key, F.explode(ancestors).alias("_folder")).join(
         folders.select(*scope, F.col(folder).alias("_folder")).distinct(), [*scope, "_folder"], "left_semi"
     )
-    return paths.join(hit.select(*key).distinct(), key, "left_semi")
+    return paths.join(hit.select(*key), key, "left_semi")
