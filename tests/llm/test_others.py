@@ -1,0 +1,159 @@
+"""Pages, vectors, conversations, the pipeline and the registered queries."""
+
+import collections
+import os
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sieveworks.llm import chat, html_text, jaccard, packing, pii, quality, queries, topk
+from tests.llm import odd
+from tests.llm.test_documents import brute_components, brute_dedup
+
+SF = "/root/testdata/sf0.001"
+
+
+# pages
+
+PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div>{body}<aside>More</aside><section id="comments"><p>Reader says this is great.</p></section><footer>&copy; 2020</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><h1>Head &amp; tail</h1><p>One   <b>tw</b>o<br>three<p>four</article>", "Head & tail One two three four"),
+        ("<main><p>Short.</p><form><label>Mail</label></form></main>", "Short."),
+        ("<div><h1>Title</h1><p>" + "Many words of a story. " * 6 + "</p><p>End of it, again with enough words to count as text.</p></div>", "Title " + ("Many words of a story. " * 6).strip() + " End of it, again with enough words to count as text."),
+        ("<article><p>a &lt;b&gt; &#233;&nbsp;c</p><div class='ad'>Buy</div><!-- x --></article>", "a <b> é c"),
+        ("", ""),
+    ],
+)
+def test_main_text(body, want):
+    assert html_text.main_text(PAGE.format(body=body)) == want
+
+
+def test_surges():
+    assert html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86) == [(1, 6)] or html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86)[0][1] == 6
+
+
+def test_pages_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a"), (3, "u", "<nav>never ends"), (3, "u", "<nav>never ends"), (4, "u", "<article>" + "<p>w</p>" * 20_000)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(5))).collect()
+    assert [(x.page_id, x.text) for x in got[:5]] == [(1, ""), (2, ""), (None, "a"), (3, "never ends"), (3, "never ends")] and got[5].n_chars == 39_999
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+# vectors
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_k_equals_brute_force(seed, monkeypatch):
+    monkeypatch.setattr(topk, "SCAN_ROWS", 150)
+    rng = np.random.default_rng(seed)
+    v = rng.integers(-40 if seed else -2, 40 if seed else 2, size=(400, 9))
+    ids = rng.permutation(1000)[:400]
+    for i, got, scores in topk.top_k(v[:60], ids[:60], v, ids, 5):
+        all_scores = v @ v[i]
+        order = [j for j in np.lexsort((ids, -all_scores)) if ids[j] != ids[i]][:5]
+        assert got.tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
+
+
+def test_vectors_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [0.5, None]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, 0.5]), (6, []), (None, [1.0]), (7, [2.0]), (7, [2.0]), (100, [-1e-9, 3.0])]
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(x.vec_id for x in v.collect()) == [0, 5, 6, 7, 7, 100] and v.where("vec_id = 100").first().v == [-1, 768]
+    got = [(x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(v, v.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got[:5] == [(0, 1, 7, 131072), (0, 2, 7, 131072), (0, 3, 100, 98048), (0, 4, 5, 81920), (0, 5, 6, 0)] and len(got) == 10
+    assert topk.search(v.limit(0), v.limit(0)).isEmpty()
+
+
+# chats
+
+
+def test_events_are_folded(spark):
+    e = [
+        (1, 0, 0, "message", "system", "s"), (1, 1, 1, "message", "user", "q <|end|>\n~0"), (1, 2, 2, "message", "assistant", "bad"), (1, 2, 3, "delta", None, " more"),
+        (1, 2, 4, "regenerate", None, None), (1, 2, 5, "delta", None, "go"), (1, 2, 6, "delta", None, "od"), (1, 1, 7, "edit", None, "Q|>"), (2, 0, 0, "delta", "assistant", "x"),
+        (None, 0, 0, None, None, None),
+    ]
+    log = spark.createDataFrame(e, "conv_id long, turn long, seq long, kind string, role string, text string")
+    done = chat.format_chats(log).select("conv_id", chat.parse(F.col("formatted")).alias("t"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = {x.conv_id: ([(t.role, t.text) for t in x.t], x.loss) for x in done.collect()}
+    assert got == {1: ([("system", "s"), ("user", "Q|>"), ("assistant", "good")], "good"), 2: ([("assistant", "x")], "x"), None: ([("", "")], "")}
+    assert chat.format_chats(log.limit(0)).isEmpty()
+
+
+def test_escapes_are_reversible(spark):
+    r = random.Random(8)
+    parts = ["~", "0", "1", "<", "|", ">", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<|end|>\n", "a", "é", "\U0001f999", "\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(400)]
+    e = spark.createDataFrame([(i, 0, i, "message", ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)], "conv_id long, turn long, seq long, kind string, role string, text string")
+    done = chat.format_chats(e).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    for x in done.collect():
+        t = texts[x.conv_id]
+        assert [(y.role, y.text) for y in x.t] == [(("user", "assistant")[x.conv_id % 2], t)] and x.loss == t * (x.conv_id % 2)
+        assert x.formatted.count("<|end|>") == 1 and "[INST]" not in x.formatted and "</s>" not in x.formatted
+
+
+def test_chat_plan_is_native(spark):
+    e = spark.createDataFrame([(1, 0, 0, "message", "user", "a")], "conv_id long, turn long, seq long, kind string, role string, text string")
+    assert "Python" not in chat.format_chats(e)._jdf.queryExecution().toString()
+
+
+# pipeline
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(r.randint(3, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts = ["\n".join(line(20) for _ in range(4)) for _ in range(12)]
+    shared = line(9)
+    texts[3] += "\n" + shared
+    texts[5] = shared + "\n" + texts[5] + " mail a@b.cd"
+    texts += [texts[0], texts[1].replace(texts[1].split()[7], "zzz", 1), "too short", "| # " * 100, None, texts[2] + " " + line(6)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    bits = lambda t: sum(1 << i for i, (_, e) in enumerate(quality.RULES) if eval(e.replace("AND", "and"), {}, dict(zip(quality.MEASURES, quality._measure((t or "").encode())))))  # noqa: E731, S307
+    kept = [(i, t) for i, t in enumerate(texts) if bits(t) == 0]
+    after = [(i, t) for i, t in brute_dedup(kept).items() if t.split()]
+    roots = brute_components(after)
+    left = [(i, pii.redact(t, pii.model().spans(t)[1])) for i, t in after if roots[i][1] == i]
+    sizes = collections.Counter({i: len(x) // 4 + 1 for (i, _), x in zip(left, packing.ChunkTokenizer(queries.public_file("word_bpe_49k.json")).ids([t for _, t in left]))})
+    assert collections.Counter({x.doc_id: x.length for x in got}) == sizes
+    assert len({x.sequence_id for x in got}) == -(-sum(sizes.values()) // 2048)
+    assert 12 not in sizes and any("[EMAIL]" in t for _, t in left)
+
+
+def test_stages_take_odd_rows(spark):
+    for make in (odd.docs, odd.none):
+        docs = make(spark)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, "").columns == docs.columns
+            stage(spark, docs, "").collect()
+        corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert jaccard
+
+
+# registered queries
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    got = queries.QUERIES[name](spark, SF)
+    found = c.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    plain = lambda rows: sorted(tuple(str(r[k]) for k in sorted(columns)) for r in rows)
+    assert sorted(got.columns) == sorted(columns)
+    assert plain(r.asDict() for r in got.collect()) == plain(dict(zip(columns, r)) for r in found.fetchall())
