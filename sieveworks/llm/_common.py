@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark from whatever store the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,27 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str, on_exit: bool) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(at) if on_exit else store.delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that lost executors repeat no earlier work.
 
-    The files go when the driver's JVM ends.
+    The files go by drop_cut(), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a frame made by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(file)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")  # the written files replace the shuffles that made them
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    _delete(spark, path, on_exit=True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files of frames made by cut() that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._cut_path, on_exit=False)
 
 
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

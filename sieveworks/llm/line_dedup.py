@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveworks.llm._common import cut
+from sieveworks.llm._common import cut, drop_cut
 
 MIN_WORDS = 5
 
@@ -104,7 +104,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """rid, pos, near: the lines that go, by document row and place; near: not equal to an earlier line."""
     lines = _lines(docs, doc_id, text, min_words)
     narrow = lines.select("rid", "pos", "place", "h1", "h2", "n", _halves(F.split("line", " ", -1), F.col("n")).alias("k"))
-    narrow = cut(narrow.select("rid", "pos", "place", "h1", "h2", "n", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
+    narrow = cut(narrow.select("rid", "pos", "place", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
     distinct = cut(
         narrow.groupBy("h1", "h2").agg(
             F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.max("place").alias("last_place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
@@ -113,9 +113,10 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     )
     halves = distinct.select("h1", "h2", "place", F.explode(F.array(*[F.col(f"k{i}") for i in range(4)])).alias("k"))
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    members = halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"))
+    members = cut(halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place")), "members")
     texts = lines.select("h1", "h2", "place", "n", "line").join(members, ["h1", "h2", "place"])
-    texts = cut(texts.dropDuplicates(["h1", "h2"]), "members")
+    texts = cut(texts.dropDuplicates(["h1", "h2"]), "texts")
+    drop_cut(members)
     keys = cut(_neighbourhood(texts), "keys")
     least = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.when(~F.col("gap"), F.col("place"))).alias("by_deletion"), F.min(F.when(F.col("gap"), F.col("place"))).alias("by_gap")
@@ -123,29 +124,36 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     least = least.where("c > 1 AND by_deletion IS NOT NULL").drop("c")
     partner = F.when(F.col("gap"), F.col("by_deletion")).otherwise(F.least("by_deletion", "by_gap"))
     found = keys.join(least, "key").select("h1", "h2", "place", partner.alias("partner")).where("partner < place")
-    found = found.groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
+    found = cut(found.groupBy("h1", "h2").agg(F.min("partner").alias("partner")), "partners")
+    drop_cut(keys)
     earlier = texts.select(F.col("place").alias("partner"), F.split("line", " ", -1).alias("b"))
     near = (
         texts.select("h1", "h2", F.split("line", " ", -1).alias("a")).join(found, ["h1", "h2"]).join(earlier, "partner")
         .where(one_edit(F.col("a"), F.col("b"))).select("h1", "h2", F.lit(True).alias("near")).distinct()
     )
+    near = cut(near, "near")
+    drop_cut(texts, found)
     gone = distinct.where("copies > 1 AND last_place > place").select("h1", "h2", F.col("place").alias("first")).join(near, ["h1", "h2"], "full_outer")
     hit = narrow.select("rid", "pos", "place", "h1", "h2").join(gone, ["h1", "h2"])
-    return hit.where("near OR place > first").select("rid", "pos", (F.coalesce("near", F.lit(False)) & ~F.coalesce(F.col("place") > F.col("first"), F.lit(False))).alias("near"))
+    equal = F.coalesce(F.col("place") > F.col("first"), F.lit(False))
+    out = cut(hit.where("near OR place > first").select("rid", "pos", (F.coalesce("near", F.lit(False)) & ~equal).alias("near")).distinct(), "gone")
+    drop_cut(narrow, distinct, near)
+    return out
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with their text without duplicate lines, and what went, in `_lines_gone` and `_near_gone`.
+    """The rows of docs with their text without duplicate lines, and what went, in `_lines_gone` and `_near_gone` (replacing columns of these names).
 
     Only the places of lines that go are gathered per document; the text is filtered in place.
     """
-    gone = duplicates(docs, doc_id, text, min_words).distinct()
-    by_doc = gone.groupBy("rid").agg(F.collect_list("pos").alias("_gone"), F.sum(F.col("near").cast("int")).alias("_near_gone")).withColumnRenamed("rid", "_rid")
-    joined = docs.withColumn("_rid", _rid(doc_id, text)).join(by_doc, "_rid", "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    gone = duplicates(docs, doc_id, text, min_words)
+    by_doc = gone.groupBy("rid").agg(F.collect_list("pos").alias("places"), F.sum(F.col("near").cast("int")).alias("n_near"))
+    joined = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), _rid(doc_id, text).alias("rid")).join(by_doc, "rid", "left")
+    lines = F.split("body", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+    left = F.when(F.col("places").isNull(), F.col("body")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    own = [c for c in docs.columns if c not in ("_lines_gone", "_near_gone")]
     return joined.select(
-        *[left.alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("_lines_gone"), F.coalesce("_near_gone", F.lit(0)).alias("_near_gone"),
+        *[(left if c == text else F.col("row").getField(c)).alias(c) for c in own],
+        F.coalesce(F.size("places"), F.lit(0)).alias("_lines_gone"), F.coalesce("n_near", F.lit(0)).alias("_near_gone"),
     )
