@@ -38,8 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind."""
-    done = pii.scan(docs, keep=tuple(docs.columns), redacted=True)
-    return _with_size(done.withColumn("text", F.col("redacted")).select(*docs.columns))
+    done = pii.scan(docs.select(F.struct("*").alias("row"), "text"), keep=("row",), redacted=True)
+    return _with_size(done.select(*[(F.col("redacted") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

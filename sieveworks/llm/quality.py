@@ -132,6 +132,6 @@ def ablation(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The rows of `docs` that pass a policy, with their own columns."""
-    book = ledger(docs.withColumn("_body", F.col("text")), "_body", tuple(docs.columns))
-    return book.where(passes(policy)).select(*docs.columns)
+    """The rows of `docs` that pass a policy, with their own columns, whatever their names."""
+    book = ledger(docs.select(F.struct("*").alias("row"), F.col("text").alias("body")), "body", ("row",))
+    return book.where(passes(policy)).select("row.*")
