@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm._common import cut, slices
 
+#: Exchanges between groups at most. Lengths that BFD packs well need as many as it takes to come to one group.
+ROUNDS = 6
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,7 +39,7 @@ class ChunkTokenizer:
     so that the ids of a text are those of its chunks in order.
     """
 
-    def __init__(self, file: str, most: int = 400_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most = Tokenizer.from_file(file), most
@@ -185,8 +187,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000) -> D
         kept = packed.where("NOT given_up").select(*own, "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
         todo = packed.where("given_up").select(*own, "sequence_id", "offset")
-        before, n, round_no = n, todo.count(), round_no + 1
-        if n * 2 > before:  # so few pieces fit together that an exchange no longer shrinks: settle with what is there
+        n, round_no = todo.count(), round_no + 1
+        if round_no == ROUNDS or not n:  # lengths that leave gaps in any packing: settle with the best found
             return done.unionByName(todo)
 
 
