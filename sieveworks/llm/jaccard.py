@@ -1,19 +1,20 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is its set of hashed word n-grams. Documents of equal sets form one class, so that copies of any
-number are one row of the join. The global n-gram order is: n-grams that few documents hold by hash, then
-the frequent ones by count. A class emits the n-grams of its prefix in that order; similar classes share
-one (prefix filter, with filters on size and position). Class sets are cut vertically into FRAGMENTS pieces
-of the order; for every candidate pair the overlaps of the fragments are counted separately and summed.
+number are one row of the join. The global n-gram order is: in the lower REGION of the hash space those of
+one class alone, then those that classes share; then the rest by hash; then the frequent ones by count.
+Similar classes share an n-gram of their prefixes in that order. N-grams of one class alone join nothing, so
+that a class whose prefix they fill is done, and any other emits only what they leave of its prefix (with
+filters on size and position). Class sets are cut vertically into FRAGMENTS pieces of the hash space;
+for every candidate pair the overlaps of the fragments are counted separately and summed.
 
 Candidates are generated without listing all pairs of a large group: under every shared n-gram the members
-are first paired with one leader, the verified links are contracted to components, and only members that
-still belong to different components are paired again, with another leader while such pairs are many and
-all with all once they are few. No candidate pair of different components is left unverified, so that the
+are first paired with a few leaders, the verified links are contracted to components, and only members that
+still belong to different components are paired again: with other leaders in a second round, then all with all. No candidate pair of different components is left unverified, so that the
 components are those of the full join.
 
-The order's counts cover all documents, for the lower REGION of the hash space, where prefixes lie; the
-frequent n-grams kept from it are those in at least 1 of FREQUENT documents, which bounds their number
+The order's counts cover all documents and classes. The
+frequent n-grams taken from REGION are those in at least 1 of FREQUENT documents, which bounds their number
 by the mean set size times FREQUENT (sent to the executors as one array). The order decides speed alone.
 
 Defined results: null text, an empty text and one without words have an empty set and link with nothing;
@@ -29,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveworks.llm._common import as_bytes, cut, slices
+from sieveworks.llm._common import as_bytes, cut, drop_cut, slices
 from sieveworks.llm.components import components
 
 FRAGMENTS = 8
 REGION = 0.3
 FREQUENT = 20_000
 LEAST_FREQUENT = 64
-STAR_ROUNDS = 8
+#: Rounds of pairing with leaders before all pairs that are left, and leaders of each n-gram in a round.
+STAR_ROUNDS, LEADERS = 2, 8
 
 
 class Shingler:
@@ -105,6 +107,9 @@ def _ordered(doc: np.ndarray, h: np.ndarray, frequent: np.ndarray, rank: np.ndar
 
 
 def _sets(n: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
+    """doc_id, rid, n, sig, prefix length p, how many n-grams lie in the region, and these or the prefix in the order by hash."""
+    limit = np.uint64(int(REGION * 2**64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in slices(batches, 1000):
@@ -113,11 +118,16 @@ def _sets(n: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
             size = np.bincount(doc, minlength=len(texts))
             start = np.cumsum(size) - size
             prefix = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-            at = np.repeat(start, prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
+            low = (h < limit) & ((frequent[at] != h) if len(frequent) else True)
+            region = np.bincount(doc[low], minlength=len(texts))
+            shown = np.maximum(prefix, region)
+            at = np.repeat(start, shown) + np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown)
             sig = [None if not k else xxhash.xxh64_intdigest(h[a : a + k].tobytes()) for a, k in zip(start.tolist(), size.tolist())]
             signed = pa.array([None if s is None else s - (1 << 64) * (s >> 63) for s in sig], pa.int64())
-            grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(h[at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size), signed, grams], ["doc_id", "rid", "n", "sig", "prefix"])
+            grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(shown)].astype(np.int32)), pa.array(h[at].view(np.int64)))
+            columns = [batch.column(1), batch.column(2), pa.array(size), signed, pa.array(prefix.astype(np.int32)), pa.array(region.astype(np.int32)), grams]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "n", "sig", "p", "region", "grams"])
 
     return run
 
@@ -164,18 +174,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     source = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", _rid()).select("text", "doc_id", "rid")
     least = max(LEAST_FREQUENT, source.count() // FREQUENT)
     counts = source.select("text").mapInArrow(_region(n), "gram long").groupBy("gram").count().where(F.col("count") >= least)
-    found = counts.orderBy("count", "gram").toPandas()  # at most mean set size * FREQUENT rows
+    counts = cut(counts, "counts")  # at most mean set size * FREQUENT rows
+    found = counts.orderBy("count", "gram").toPandas()
+    drop_cut(counts)
     hashes = found["gram"].to_numpy().astype(np.int64).view(np.uint64)
     by_hash = np.argsort(hashes)
-    sets = cut(
-        source.mapInArrow(_sets(n, percent, hashes[by_hash], by_hash.astype(np.uint64)), "doc_id long, rid long, n long, sig long, prefix array<long>"), "sets"
-    )
-    rows = sets.where("sig IS NOT NULL").select("sig", "n", F.posexplode("prefix").alias("pos", "gram"))
-    some = rows.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("gram")
-    shared = cut(rows.join(some, "gram").distinct(), "shared")
+    made = source.mapInArrow(_sets(n, percent, hashes[by_hash], by_hash.astype(np.uint64)), "doc_id long, rid long, n long, sig long, p int, region int, grams array<long>")
+    made = cut(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = cut(made.select("doc_id", "rid", "n", "sig", "p", "region", "row"), "named")
+    # one row of each class goes on, before its n-grams are spread
+    first = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("first"))
+    again = sets.join(first, "sig").where("row <> first").select("row")
+    rows = made.where("sig IS NOT NULL").join(again, "row", "left_anti").select("sig", F.posexplode("grams").alias("pos", "gram")).repartition("gram")
+    some = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    joint = cut(rows.join(some, "gram"), "joint")
+    # alone: n-grams of the region that no other class has; they come first in the order
+    facts = sets.join(first.withColumnRenamed("first", "row"), ["sig", "row"]).select("sig", "n", "p", "region")
+    by_class = Window.partitionBy("sig")
+    placed = joint.join(facts, "sig").withColumn("alone", F.col("region") - F.count_if(F.col("pos") < F.col("region")).over(by_class))
+    placed = placed.withColumn("pos", F.col("alone") + F.row_number().over(by_class.orderBy("pos")) - 1).where("pos < p")
+    shared = cut(placed.select("gram", "sig", "n", "pos"), "shared")
+    drop_cut(joint)
+    drop_cut(made)
     # documents of sizes within a factor of 1 / 0.8 meet in one of two size classes
     size_class = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-    members = shared.select("gram", "sig", "n", "pos", F.explode(F.array(size_class, size_class + 1)).alias("k"))
+    members = shared.select("gram", "sig", "n", "pos", size_class.alias("c")).withColumn("k", F.explode(F.array(F.col("c"), F.col("c") + 1)))
 
     needed = shared.select("sig").distinct()
     text_of = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("rid").alias("rid"))
@@ -187,40 +210,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         placed = members.withColumn("root", F.col("sig")) if roots is None else members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         if roots is not None:
             placed = cut(placed, "placed")
-        by_root = placed.groupBy("gram", "k", "root").agg(F.count(F.lit(1)).alias("c"))
-        by_gram = by_root.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).where("roots > 1")
+        by_root = placed.groupBy("gram", "k", "root").agg(F.count(F.lit(1)).alias("held"))
+        by_gram = by_root.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("roots"), F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("same")).where("roots > 1")
         open_grams = cut(by_gram, "open")
         cross, open_rows = open_grams.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
         if not cross:
             break
         still = placed.join(open_grams.select("gram", "k"), ["gram", "k"])
-        if cross <= 4 * open_rows or star == STAR_ROUNDS:
-            a = still.select("gram", "k", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"))
-            b = still.select("gram", "k", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"))
-            pairs = a.join(b, ["gram", "k"]).where("a < b AND root_a <> root_b").where(_plausible(percent))
-            last = True
+        all_pairs = cross <= 4 * open_rows or star == STAR_ROUNDS
+        if all_pairs:
+            a = still.select("gram", "k", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), F.col("c").alias("c_a"))
+            b = still.select("gram", "k", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), F.col("c").alias("c_b"))
+            # two of the lower class of k meet under their own k
+            pairs = a.join(b, ["gram", "k"]).where("a < b AND root_a <> root_b AND (c_a = k OR c_b = k)").where(_plausible(percent))
         else:
-            key = F.xxhash64(F.lit(star), "sig")
-            leader = still.groupBy("gram", "k").agg(F.min_by(F.struct("sig", "n", "pos", "root"), key).alias("l"))
-            pairs = still.join(leader, ["gram", "k"]).where("sig <> l.sig AND root <> l.root").select(
+            one = F.struct("sig", "n", "pos", "root")
+            leaders = still.groupBy("gram", "k").agg(*[F.min_by(one, F.xxhash64(F.lit(star * LEADERS + i), "sig")).alias(f"l{i}") for i in range(LEADERS)])
+            leaders = leaders.select("gram", "k", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
+            pairs = still.join(leaders, ["gram", "k"]).where("sig <> l.sig AND root <> l.root").select(
                 F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("l.sig").alias("b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b")
             ).where(_plausible(percent))
-            last = False
         pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
         new = _verify(pairs, fragments, percent)
         links = cut(new if links is None else links.unionByName(new), "links")
         roots = components(links)
-        if last:
+        if all_pairs:
             break
     own = F.coalesce(F.col("root"), F.col("sig"))
     named = sets.select("doc_id", "rid", "n", "sig")
     named = named.withColumn("root", F.col("sig")) if roots is None else named.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", own)
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(smallest, "root", "left")
+    drop_cut(fragments, shared)
     return joined.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, and those without id."""
-    found = near_duplicates(docs, n, percent).where("doc_id <> component_id").select(F.col("rid").alias("_rid")).distinct()
-    return docs.withColumn("_rid", F.xxhash64(F.lit(3), F.col("doc_id").cast("long"), "text")).join(found, "_rid", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, n, percent).where("doc_id <> component_id").select("rid").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(3), F.col("doc_id").cast("long"), "text").alias("rid"))
+    return rows.join(gone, "rid", "left_anti").select("row.*")
