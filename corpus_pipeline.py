@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are in an earlier document or place; those left without a word go."""
-    done = line_dedup.dedup(docs)
+    done = line_dedup.dedup(docs, short_equal=True)
     left = (F.col("_lines_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _with_size(done.where(left).select(*docs.columns))
 

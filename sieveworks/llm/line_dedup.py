@@ -2,7 +2,8 @@
 
 A line is its words, cut at single spaces. Lines of at least `min_words` words are compared; a line goes
 if an earlier one (by doc_id, then place in the document) is equal or within one word edit: one word
-replaced, inserted or deleted. Shorter lines always stay.
+replaced, inserted or deleted. Shorter lines stay, as the SQL of op3_line_dedup has it; with `short_equal`
+a shorter line that is not blank goes if an earlier one is equal.
 
 1. Lines are reduced to fixed-width rows (hashes of the line and of its halves) and summed to distinct
    lines with their first place, so that a line of any number of copies is one row from there on.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from sieveworks.llm._common import cut, drop_cut
 
 MIN_WORDS = 5
+_BLANK = " \t\n\v\f\r"
 
 
 def _rid(doc_id: str, text: str) -> Column:
@@ -42,10 +44,11 @@ def _place(doc_id: str) -> Column:
     return (first * F.lit(2**31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(31,0)")
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int, short_equal: bool) -> DataFrame:
     """rid, pos, place, h1, h2, n, line: the lines that are compared."""
     one = docs.where(F.col(text).isNotNull()).select(_rid(doc_id, text).alias("rid"), F.col(doc_id).alias("_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    one = one.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
+    one = one.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    one = one.where((F.col("n") >= min_words) | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else F.col("n") >= min_words)
     return one.select("rid", "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "n", "line")
 
 
@@ -100,10 +103,11 @@ def one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_equal: bool = False) -> DataFrame:
     """rid, pos, near: the lines that go, by document row and place; near: not equal to an earlier line."""
-    lines = _lines(docs, doc_id, text, min_words)
-    narrow = lines.select("rid", "pos", "place", "h1", "h2", "n", _halves(F.split("line", " ", -1), F.col("n")).alias("k"))
+    lines = _lines(docs, doc_id, text, min_words, short_equal)
+    halves = F.when(F.col("n") >= min_words, _halves(F.split("line", " ", -1), F.col("n")))  # null: compared as a whole only
+    narrow = lines.select("rid", "pos", "place", "h1", "h2", "n", halves.alias("k"))
     narrow = cut(narrow.select("rid", "pos", "place", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
     distinct = cut(
         narrow.groupBy("h1", "h2").agg(
@@ -111,7 +115,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         ),
         "distinct",
     )
-    halves = distinct.select("h1", "h2", "place", F.explode(F.array(*[F.col(f"k{i}") for i in range(4)])).alias("k"))
+    halves = distinct.select("h1", "h2", "place", F.explode(F.array(*[F.col(f"k{i}") for i in range(4)])).alias("k")).where("k IS NOT NULL")
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     members = cut(halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place")), "members")
     texts = lines.select("h1", "h2", "place", "n", "line").join(members, ["h1", "h2", "place"])
@@ -141,12 +145,12 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     return out
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_equal: bool = False) -> DataFrame:
     """The rows of docs with their text without duplicate lines, and what went, in `_lines_gone` and `_near_gone` (replacing columns of these names).
 
     Only the places of lines that go are gathered per document; the text is filtered in place.
     """
-    gone = duplicates(docs, doc_id, text, min_words)
+    gone = duplicates(docs, doc_id, text, min_words, short_equal)
     by_doc = gone.groupBy("rid").agg(F.collect_list("pos").alias("places"), F.sum(F.col("near").cast("int")).alias("n_near"))
     joined = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), _rid(doc_id, text).alias("rid")).join(by_doc, "rid", "left")
     lines = F.split("body", "\n", -1)

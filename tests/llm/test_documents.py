@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sieveworks.llm import jaccard, line_dedup, packing, pii, piece_bpe, quality, secret_scan
 from sieveworks.llm._common import cut
 from sieveworks.llm.boosting import BoostedTrees, threshold_for
@@ -105,6 +106,20 @@ def test_line_dedup_on_odd_rows(spark):
     assert line_dedup.dedup(odd.none(spark)).isEmpty()
 
 
+def test_short_equal_lines_go(spark):
+    tab = "\t".join("abcdefgh")
+    rows = [(1, f"All rights reserved.\n\nx\n{tab}\n \n\t"), (2, f"x\n\none two three\n{tab}\n \n\t\nAll rights reserved."), (3, "one two four\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup(docs, short_equal=True).collect()}
+    assert got == {1: rows[0][1], 2: "\none two three\n \n\t", 3: "one two four"}
+
+
+def test_pipeline_stage_drops_short_equal_lines(spark):
+    docs = spark.createDataFrame([(1, "first text\nAll rights reserved.", "en", "s", 0), (2, "second text\nAll rights reserved.", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_duplicate_lines(spark, docs, "").collect()}
+    assert got == {1: "first text\nAll rights reserved.", 2: "second text"}
+
+
 # jaccard
 
 
