@@ -28,12 +28,14 @@ from sieveworks.llm._common import slices
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<rest>(?:[^>\"']++|\"[^\"]{0,8192}\"|'[^']{0,8192}'|[\"']){0,512}+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?:(?P<rest>(?!=)[^>\"'=]{0,256}+(?:(?<![\s/\"'])=(?:\"[^\"]{0,512}\"|'[^']{0,512}'|[^\s>\"'][^\s>\"']{0,256}+)[^>\"'=]{0,256}+){0,16}+)>)?"
     r"|<[!?][^>]*>|</[^>]*>",
     re.I | re.S,
 )
+#: One attribute, or what stands between two. A quote opens a value after = only, and only if it closes.
+_ATTRIBUTE = re.compile(r"[\s/]++|[^\s/>][^\s/>=]{0,255}+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+")
 _SPACE = re.compile(r"\s+")
-_NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|=\s*+(?:\"[^\"]*+\"|'[^']*+')", re.I)
 
 #: Elements that end a line, elements without an end, elements that never hold main text.
 BLOCKS = frozenset(
@@ -61,11 +63,37 @@ def _names(rest: str) -> str:
     return " ".join(a or b or c for a, b, c in _NAMED.findall(rest)).lower() if "=" in rest else ""
 
 
+def _tag_end(page: str, at: int, last: int, dead: set[int]) -> int:
+    """The place of the > that ends the tag whose attributes start at `at`, or -1; `dead`: places that lead to none."""
+    seen = []
+    while at not in dead and at <= last:
+        if page[at] == ">":
+            return at
+        seen.append(at)
+        at = _ATTRIBUTE.match(page, at).end()
+    dead.update(seen)
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """start, end, tag, closing, rest of all markup in page order."""
+    last = page.rfind(">")
+    dead: set[int] = set()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        rest = m["rest"]
+        if m["tag"] and rest is None:  # long, or quoted in an odd way
+            end = _tag_end(page, at, last, dead)
+            if end < 0:
+                continue
+            rest, at = page[at:end], end + 1
+        yield m.start(), at, (m["tag"] or "").lower(), bool(m["end"]), rest or ""
+
+
 def _lines(page: str) -> list[tuple[str, int, int, int]]:
     """Lines in page order: text, whether it is chrome, the number of its outermost article or -1, link characters."""
-    tokens = []  # (start, end, tag, closing, rest)
-    for m in _TOKEN.finditer(page):
-        tokens.append((m.start(), m.end(), (m["tag"] or "").lower(), bool(m["end"]), m["rest"] or ""))
+    tokens = list(_tokens(page))
     opened: dict[str, list[int]] = {}
     close: dict[int, int] = {}
     for k, (_, _, tag, closing, rest) in enumerate(tokens):

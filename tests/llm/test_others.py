@@ -3,6 +3,7 @@
 import collections
 import os
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -37,6 +38,34 @@ def test_main_text(body, want):
     assert html_text.main_text(PAGE.format(body=body)) == want
 
 
+@pytest.mark.parametrize(
+    "div",
+    [
+        '<div data-x="a>b ' + "y" * 12_000 + '">',
+        "<div data-x='" + '{"a": "<p class=\\"ad\\">"}, ' * 900 + "'>",
+        "<div " + " ".join(f"a{i}='{i}>'" for i in range(300)) + ">",
+        "<div " + " ".join(f'a{i}="{i}"' for i in range(300)) + ' data-y=">">',
+        '<div title="a"">',
+        "<div title = 'x>' data-z=y'>",
+        '<div data-x="' + "z" * 9000 + ' class="q">',
+    ],
+)
+def test_long_tags(div):
+    assert html_text.main_text(PAGE.format(body=f"<article>{div}<p>Kept.</p></div></article>")) == "Kept."
+
+
+def test_long_tag_is_chrome():
+    nav = "<nav " + " ".join(f"a{i}='{i}'" for i in range(300)) + ' data-x="' + ">" * 9000 + '">'
+    assert html_text.main_text(PAGE.format(body=f"<article><p>Kept.</p>{nav}Home</nav></article>")) == "Kept."
+
+
+def test_tags_without_an_end_cost_linear_time():
+    started = time.monotonic()
+    html_text.main_text('<a x="' * 100_000 + '>"')
+    html_text.main_text("<a x='>\" y " * 100_000)
+    assert time.monotonic() - started < 20
+
+
 def test_surges():
     assert html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86) == [(1, 6)] or html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86)[0][1] == 6
 
