@@ -1,9 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is its words, cut at single spaces. Lines of at least `min_words` words are compared; a line goes
-if an earlier one (by doc_id, then place in the document) is equal or within one word edit: one word
-replaced, inserted or deleted. Shorter lines stay, as the SQL of op3_line_dedup has it; with `short_equal`
-a shorter line that is not blank goes if an earlier one is equal.
+A line is its words, cut at spaces; runs of spaces and spaces at the ends count as one cut or none. A line
+of at least `min_words` words goes if an earlier one (by doc_id, then place in the document) is within one
+word edit: equal in words, or one word replaced, inserted or deleted. A line with at least `min_words` - 1
+spaces goes if an earlier one is equal; with `short_equal` any line that is not blank does. Other lines
+stay, as the SQL of op3_line_dedup has it.
 
 1. Lines are reduced to fixed-width rows (hashes of the line and of its halves) and summed to distinct
    lines with their first place, so that a line of any number of copies is one row from there on.
@@ -44,12 +45,19 @@ def _place(doc_id: str) -> Column:
     return (first * F.lit(2**31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(31,0)")
 
 
+def _pieces(line: str) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int, short_equal: bool) -> DataFrame:
-    """rid, pos, place, h1, h2, n, line: the lines that are compared."""
+    """rid, pos, place, h1, h2, n, line: the lines that are compared; n and line without surplus spaces."""
     one = docs.where(F.col(text).isNotNull()).select(_rid(doc_id, text).alias("rid"), F.col(doc_id).alias("_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    one = one.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    one = one.where((F.col("n") >= min_words) | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else F.col("n") >= min_words)
-    return one.select("rid", "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "n", "line")
+    long = _pieces("line") >= min_words
+    one = one.where(long | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else long)
+    trimmed = F.trim("line")
+    words = F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, "  +", " ")).otherwise(trimmed)
+    one = one.select("rid", "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words.alias("line"))
+    return one.select("rid", "pos", "place", "h1", "h2", _pieces("line").alias("n"), "line")
 
 
 def _halves(words: Column, n: Column) -> Column:

@@ -106,6 +106,13 @@ def test_line_dedup_on_odd_rows(spark):
     assert line_dedup.dedup(odd.none(spark)).isEmpty()
 
 
+def test_spaces_are_no_words(spark):
+    text = "\n".join(["    foo", "    bar", "        x = 1", "        y = 2", "a  b  c", "a  b  d", "    foo", "one two three four five", "  one two  three four six ", "  one two  three four six "])
+    (got,) = line_dedup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got.text.split("\n") == ["    foo", "    bar", "        x = 1", "        y = 2", "a  b  c", "a  b  d", "one two three four five"]
+    assert (got._lines_gone, got._near_gone) == (3, 1)
+
+
 def test_short_equal_lines_go(spark):
     tab = "\t".join("abcdefgh")
     rows = [(1, f"All rights reserved.\n\nx\n{tab}\n \n\t"), (2, f"x\n\none two three\n{tab}\n \n\t\nAll rights reserved."), (3, "one two four\nx")]
