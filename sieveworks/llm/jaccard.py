@@ -1,151 +1,202 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is its set of hashed word n-grams. Documents of equal sets form one class, so that copies of any
-number are one row of the join. The global n-gram order is: in the lower REGION of the hash space those of
-one class alone, then those that classes share; then the rest by hash; then the frequent ones by count.
-Similar classes share an n-gram of their prefixes in that order. N-grams of one class alone join nothing, so
-that a class whose prefix they fill is done, and any other emits only what they leave of its prefix (with
-filters on size and position). Class sets are cut vertically into FRAGMENTS pieces of the hash space;
-for every candidate pair the overlaps of the fragments are counted separately and summed.
-
-Candidates are generated without listing all pairs of a large group: under every shared n-gram the members
-are first paired with a few leaders, the verified links are contracted to components, and only members that
-still belong to different components are paired again: with other leaders in a second round, then all with all. No candidate pair of different components is left unverified, so that the
-components are those of the full join.
-
-The order's counts cover all documents and classes. The
-frequent n-grams taken from REGION are those in at least 1 of FREQUENT documents, which bounds their number
-by the mean set size times FREQUENT (sent to the executors as one array). The order decides speed alone.
+number are one row of the join. The space of n-grams is cut into parts that are counted separately and summed:
+
+1. First count. N-grams in the lower FIRST of the hash space are dealt to buckets; each bucket counts, for every
+   class, those that some other class has too. The sums say which classes have more than 100 - percent of their
+   n-grams for themselves; these link with nothing and are done. Each batch of documents sends an n-gram once.
+2. Global order. The n-grams of the classes that are left are counted exactly and ordered by (classes, hash),
+   those of one class alone first. Similar classes share an n-gram of their prefixes in that order.
+3. Fragments. The order is cut at FRAGMENTS - 1 pivots of equal weight. A candidate pair must pass the filters
+   on size and position and the bound that the sizes of its segments set; then the overlaps of its fragments
+   are counted separately and summed.
+
+Candidates are generated without listing all pairs of a large group: under every n-gram the members are first
+paired with three leaders, those with the fewest n-grams of their own among them; the links found are contracted
+to components. Then only members outside the largest component of their n-gram are paired, with members of
+other components. No candidate pair of different components is left out, so that the components are those of
+the full join.
 
 Defined results: null text, an empty text and one without words have an empty set and link with nothing;
 fewer words than n make one n-gram of the whole; rows that repeat in id and text are one class; null ids
 are kept and never a component's smallest id unless alone; an empty table stays empty; other columns play
-no part. Hashes have 64 bits; two sets count as equal where their 64-bit signatures and sizes are.
+no part. N-grams are 64-bit hashes, classes and rows 128-bit ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm._common import as_bytes, cut, drop_cut, slices
 from sieveworks.llm.components import components
 
+FIRST = 0.35
 FRAGMENTS = 8
-REGION = 0.3
-FREQUENT = 20_000
-LEAST_FREQUENT = 64
-#: Rounds of pairing with leaders before all pairs that are left, and leaders of each n-gram in a round.
-STAR_ROUNDS, LEADERS = 2, 8
+#: N-grams of one bucket of the first count; documents and bytes of a batch that sends an n-gram once.
+BUCKET_GRAMS = 2_000_000
+BATCH_ROWS, BATCH_BYTES = 16_384, 32 << 20
+
+
+class _Words(dict):
+    """Hash of each word seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of the words at the same place of all arrays, in their order."""
+    h = np.full(len(words[0]), (len(words) * 0x9E3779B97F4A7C15) % 2**64, np.uint64)
+    for w in words:
+        h ^= w
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Shingler:
-    """64-bit hashes of the word n-grams of texts, one numpy pass over a batch of documents."""
+    """Sets of 64-bit hashes of the word n-grams of texts, one numpy pass over a batch of documents."""
 
     def __init__(self, n: int, most: int = 400_000):
-        self.n, self._most, self._known = n, most, {}
+        self.n, self._most, self._known = n, most, _Words()
 
-    def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For all n-grams of the batch: the document's number and the hash, with repeats."""
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The distinct n-grams of each text in order of hash."""
         cuts = [t.lower().split() for t in texts]  # bytes: lower-cases A-Z, cuts at U+0020 and U+0009 to U+000D
         if len(self._known) > self._most:
-            self._known = {}
-        for w in {w for words in cuts for w in words if w not in self._known}:
-            self._known[w] = xxhash.xxh64_intdigest(w)
-        size = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        get = self._known.__getitem__
-        words = np.fromiter((get(w) for c in cuts for w in c), np.uint64, int(size.sum()))
-        start = np.cumsum(size) - size
-        grams = np.where(size >= self.n, size - self.n + 1, np.minimum(size, 1))
-        doc = np.repeat(np.arange(len(cuts)), grams)
-        first = np.repeat(start, grams) + np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams)
-        length = np.minimum(size, self.n)[doc]
-        h = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for j in range(self.n):
-            at = first + j
-            w = np.where(j < length, words[np.minimum(at, max(0, len(words) - 1))] if len(words) else 0, 0).astype(np.uint64)
-            h = (h ^ w) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(32)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        return doc, h ^ (h >> np.uint64(29))
-
-
-def _rid():
-    return F.xxhash64(F.lit(3), "doc_id", "text")
-
-
-def _region(n: int):
-    limit = np.uint64(int(REGION * 2**64))
+            self._known = _Words()
+        size = [len(c) for c in cuts]
+        words = np.fromiter(map(self._known.__getitem__, chain.from_iterable(cuts)), np.uint64, sum(size))
+        n = self.n
+        every = _mixed([words[j : len(words) - n + 1 + j] for j in range(n)]) if len(words) >= n else words[:0]
+        out, at = [], 0
+        for k in size:
+            if k >= n:
+                h = np.sort(every[at : at + k - n + 1])
+                out.append(h[np.r_[True, h[1:] != h[:-1]]])
+            else:
+                out.append(_mixed([words[at + j : at + j + 1] for j in range(k)]) if k else words[:0])
+            at += k
+        return out
+
+
+def _signature(grams: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+
+
+def _rid() -> Column:
+    """A name of 128 bits for a row's id and text."""
+    text = F.when(F.col("text").isNull(), F.lit("n")).otherwise(F.concat(F.lit("t"), "text"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), text)))
+
+
+def _limit() -> np.uint64:
+    return np.uint64(min(2**64 - 1, int(FIRST * 2**64)))
+
+
+def _sizes(n: int):
+    """doc_id, rid, size of the set, how much of it lies in the first part, signature, its first half as a number."""
+    limit = _limit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
-        for batch in slices(batches, 1000):
-            doc, h = make.sets(as_bytes(batch.column(0)))
-            low = h < limit
-            pairs = np.unique(np.stack([doc[low].astype(np.uint64), h[low]], 1), axis=0) if low.any() else np.zeros((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64) if len(pairs) else np.zeros(0, np.int64))], ["gram"])
+        for batch in slices(batches, 1000, 4 << 20):
+            sets = make.sets(as_bytes(batch.column(0)))
+            sig = [_signature(s) for s in sets]
+            size = np.array([len(s) for s in sets], np.int64)
+            low = np.array([np.searchsorted(s, limit) for s in sets], np.int64)
+            key = pa.array([None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sig], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size), pa.array(low), pa.array(sig, pa.binary()), key], ["doc_id", "rid", "n", "low", "sig", "key"])
 
     return run
 
 
-def _ordered(doc: np.ndarray, h: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, n-gram) in the global order; frequent: sorted hashes, rank: their place."""
-    key = h >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        known = frequent[at] == h
-        key = np.where(known, np.uint64(1 << 63) + rank[at], key)
-    order = np.lexsort((h, key, doc))
-    doc, h = doc[order], h[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
-    return doc[new], h[new]
-
-
-def _sets(n: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """doc_id, rid, n, sig, prefix length p, how many n-grams lie in the region, and these or the prefix in the order by hash."""
-    limit = np.uint64(int(REGION * 2**64))
+_ENTRIES = "bucket int, grams binary, keys binary, own binary, counts binary"
+
+
+def _entries(n: int, buckets: int):
+    """The first part's n-grams of a batch by bucket, each once with its class (0: several classes of the batch).
+
+    own and counts, on one row of the batch: how many n-grams each class shares inside the batch.
+    """
+    limit = _limit()
+    width = max(1, -(-int(limit) // buckets))
+
+    def rows(grams: list[np.ndarray], keys: list[int]) -> Iterator[tuple]:
+        size = [len(g) for g in grams]
+        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        cls = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(g)
+        g, cls = g[order], cls[order]
+        new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        many = np.diff(np.r_[at, len(g)]) > 1
+        local = np.bincount(cls[np.repeat(many, np.diff(np.r_[at, len(g)]))], minlength=len(size))
+        name = np.array(keys, np.int64)
+        key = np.where(many, 0, name[cls[at]]) if len(at) else np.zeros(0, np.int64)
+        g = g[at]
+        bucket = (g // np.uint64(width)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(g) else np.zeros(0, np.int64)
+        sums = (name[local > 0].tobytes(), local[local > 0].astype(np.int64).tobytes())
+        for i, (a, b) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(g)])):
+            yield (int(bucket[a]), g[a:b].tobytes(), key[a:b].tobytes(), *(sums if i == int(g[0]) % len(begin) else (None, None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
-        for batch in slices(batches, 1000):
-            texts = as_bytes(batch.column(0))
-            doc, h = _ordered(*make.sets(texts), frequent, rank)
-            size = np.bincount(doc, minlength=len(texts))
-            start = np.cumsum(size) - size
-            prefix = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-            at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-            low = (h < limit) & ((frequent[at] != h) if len(frequent) else True)
-            region = np.bincount(doc[low], minlength=len(texts))
-            shown = np.maximum(prefix, region)
-            at = np.repeat(start, shown) + np.arange(shown.sum()) - np.repeat(np.cumsum(shown) - shown, shown)
-            sig = [None if not k else xxhash.xxh64_intdigest(h[a : a + k].tobytes()) for a, k in zip(start.tolist(), size.tolist())]
-            signed = pa.array([None if s is None else s - (1 << 64) * (s >> 63) for s in sig], pa.int64())
-            grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(shown)].astype(np.int32)), pa.array(h[at].view(np.int64)))
-            columns = [batch.column(1), batch.column(2), pa.array(size), signed, pa.array(prefix.astype(np.int32)), pa.array(region.astype(np.int32)), grams]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "n", "sig", "p", "region", "grams"])
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        for big in slices(batches, BATCH_ROWS, BATCH_BYTES):
+            grams, known = [], {}
+            for batch in slices([big], 1000, 4 << 20):
+                for s in make.sets(as_bytes(batch.column(0))):
+                    sig = _signature(s)
+                    if sig is not None and sig not in known:
+                        known[sig] = int.from_bytes(sig[:8], "little", signed=True) or 1
+                        grams.append(s[: np.searchsorted(s, limit)])
+            found = list(rows(grams, list(known.values())))
+            for i in range(0, len(found), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found[i : i + 64]), kinds)], ["bucket", "grams", "keys", "own", "counts"])
 
     return run
 
 
-def _fragments(n: int):
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
+
+
+def _shared_in_bucket(rows: pa.Table) -> pa.Table:
+    """key, shared: how many n-grams of the bucket a class shares with another (too high for copies of one class, never too low)."""
+    g, key = _joined(rows["grams"], np.uint64), _joined(rows["keys"], np.int64)
+    order = np.argsort(g)
+    g, key = g[order], key[order]
+    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    least, most = (f.reduceat(key, at) if len(g) else key for f in (np.minimum, np.maximum))
+    several = (least != most) | (least == 0)
+    hit = key[np.repeat(several, np.diff(np.r_[at, len(g)]))]
+    names = np.r_[hit[hit != 0], _joined(rows["own"], np.int64)]
+    times = np.r_[np.ones(np.count_nonzero(hit), np.int64), _joined(rows["counts"], np.int64)]
+    names, where = np.unique(names, return_inverse=True)
+    return pa.table([pa.array(names), pa.array(np.bincount(where, times, len(names)).astype(np.int64))], ["key", "shared"])
+
+
+def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
-        for batch in slices(batches, 500):
-            texts = as_bytes(batch.column(0))
-            none = np.zeros(0, np.uint64)
-            doc, h = _ordered(*make.sets(texts), none, none)
-            piece = doc * FRAGMENTS + (h >> np.uint64(61)).astype(np.int64) % FRAGMENTS
-            size = np.bincount(piece, minlength=len(texts) * FRAGMENTS)
-            order = np.argsort(piece, kind="stable")
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h[order].view(np.int64)))
-            sig = batch.column(1).take(pa.array(np.repeat(np.arange(len(texts)), FRAGMENTS)))
-            frag = pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(texts)))
-            yield pa.RecordBatch.from_arrays([sig, frag, lists], ["sig", "frag", "grams"])
+        for batch in slices(batches, 1000, 4 << 20):
+            sets = make.sets(as_bytes(batch.column(0)))
+            size = np.array([len(s) for s in sets], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(size), lists], ["sig", "n", "grams"])
 
     return run
 
@@ -155,98 +206,136 @@ def similar(overlap, n_a, n_b, percent: int = 80):
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def _verify(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are similar: overlaps are counted per fragment and summed."""
-    left = fragments.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
-    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-
 def _plausible(percent: int) -> str:
     """Size and position filter of a pair under one shared n-gram; exact for its first shared one."""
     need = f"{percent} * (n_a + n_b)"
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * least(n_a - pos_a, n_b - pos_b) >= {need}"
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, rid, n_shingles, component_id: one row per row of docs (doc_id long, text string)."""
-    source = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", _rid()).select("text", "doc_id", "rid")
-    least = max(LEAST_FREQUENT, source.count() // FREQUENT)
-    counts = source.select("text").mapInArrow(_region(n), "gram long").groupBy("gram").count().where(F.col("count") >= least)
-    counts = cut(counts, "counts")  # at most mean set size * FREQUENT rows
-    found = counts.orderBy("count", "gram").toPandas()
-    drop_cut(counts)
-    hashes = found["gram"].to_numpy().astype(np.int64).view(np.uint64)
-    by_hash = np.argsort(hashes)
-    made = source.mapInArrow(_sets(n, percent, hashes[by_hash], by_hash.astype(np.uint64)), "doc_id long, rid long, n long, sig long, p int, region int, grams array<long>")
-    made = cut(made.withColumn("row", F.monotonically_increasing_id()), "sets")
-    sets = cut(made.select("doc_id", "rid", "n", "sig", "p", "region", "row"), "named")
-    # one row of each class goes on, before its n-grams are spread
-    first = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("first"))
-    again = sets.join(first, "sig").where("row <> first").select("row")
-    rows = made.where("sig IS NOT NULL").join(again, "row", "left_anti").select("sig", F.posexplode("grams").alias("pos", "gram")).repartition("gram")
-    some = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    joint = cut(rows.join(some, "gram"), "joint")
-    # alone: n-grams of the region that no other class has; they come first in the order
-    facts = sets.join(first.withColumnRenamed("first", "row"), ["sig", "row"]).select("sig", "n", "p", "region")
-    by_class = Window.partitionBy("sig")
-    placed = joint.join(facts, "sig").withColumn("alone", F.col("region") - F.count_if(F.col("pos") < F.col("region")).over(by_class))
-    placed = placed.withColumn("pos", F.col("alone") + F.row_number().over(by_class.orderBy("pos")) - 1).where("pos < p")
-    shared = cut(placed.select("gram", "sig", "n", "pos"), "shared")
-    drop_cut(joint)
+def _survivors(source: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """rid, sig of one row of every class whose n-grams may be shared to `percent`, by the first count."""
+    spark = source.sparkSession
+    low = sets.agg(F.sum("low")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-low // BUCKET_GRAMS))
+    entries = source.select("text").mapInArrow(_entries(n, buckets), _ENTRIES)
+    counted = entries.groupBy("bucket").applyInArrow(lambda rows: _shared_in_bucket(rows), "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    classes = sets.where("sig IS NOT NULL").groupBy("sig", "n", "low", "key").agg(F.min("rid").alias("rid"))
+    counted = counted.withColumnRenamed("key", "counted_key")
+    joined = classes.join(counted, F.when(F.col("key") == 0, F.lit(1)).otherwise(F.col("key")) == F.col("counted_key"), "left")
+    return joined.where(100 * (F.col("n") - F.col("low") + F.coalesce("shared", F.lit(0))) >= percent * F.col("n")).select("rid", "sig")
+
+
+def _ordered(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """sig, n, alone (n-grams that no other class has), o: the others in the global order as (c, gram); classes that may link."""
+    made = cut(texts.mapInArrow(_grams(n), "sig binary, n long, grams array<long>").dropDuplicates(["sig"]), "grams")
+    rows = made.select("sig", "n", F.explode("grams").alias("gram"))
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("c")).where("c > 1")
+    order = F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("o")  # bounded by one document's set
+    held = rows.join(counts, "gram").groupBy("sig", "n").agg(order)
+    done = cut(held.where(100 * F.size("o") >= percent * F.col("n")).select("sig", "n", (F.col("n") - F.size("o")).alias("alone"), "o"), "ordered")
     drop_cut(made)
-    # documents of sizes within a factor of 1 / 0.8 meet in one of two size classes
+    return done
+
+
+def _fragments(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of the classes, cut at pivots of the global order (sig, frag, grams), and their sizes (sig, sizes)."""
+    place = lambda x: x["c"].cast("long") * 4096 + F.shiftrightunsigned(x["gram"], 52)
+    share = [i / FRAGMENTS for i in range(1, FRAGMENTS)]
+    pivots = ordered.select(F.explode("o").alias("x")).agg(F.percentile_approx(place(F.col("x")), share, 1000)).first()[0] or []
+    number = lambda x: sum([(place(x) >= F.lit(p)).cast("int") for p in pivots], F.lit(0))
+    segments = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda i: F.transform(F.filter("o", lambda x: number(x) == i), lambda x: x["gram"]))
+    cutted = cut(ordered.select("sig", F.posexplode(segments).alias("frag", "grams")), "fragments")
+    sizes = ordered.select("sig", F.aggregate("o", F.array_repeat(F.lit(0), FRAGMENTS), lambda acc, x: F.transform(acc, lambda v, i: v + (i == number(x)).cast("int"))).alias("sizes"))
+    return cutted, sizes
+
+
+def _verify(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that are similar: overlaps are counted per fragment and summed, where the segments' sizes allow as much."""
+    a, b = (sizes.select(F.col("sig").alias(k), F.col("sizes").alias(f"sizes_{k}")) for k in "ab")
+    most = F.aggregate(F.zip_with("sizes_a", "sizes_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.distinct().join(a, "a").join(b, "b").where(similar(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+    left, right = (fragments.select(F.col("sig").alias(k), "frag", F.col("grams").alias(f"grams_{k}")) for k in "ab")
+    part = F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("part")
+    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "n_a", "n_b", part)
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _with_leaders(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of every member of an n-gram with its leaders."""
+    one = F.struct("sig", "n", "pos")
+    by = lambda *first, seed: F.min_by(one, F.struct(*first, F.xxhash64(F.lit(seed), "sig")))
+    leaders = F.array_distinct(F.array(by("alone", seed=1), by(F.floor(F.col("alone") / 4), seed=2), by(seed=3)))
+    lists = members.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("held"), leaders.alias("l")).where("held > 1").select("gram", "k", F.explode("l").alias("l"))
+    pairs = members.join(lists, ["gram", "k"]).where("sig <> l.sig").select(
+        "sig", F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("l.sig").alias("leader"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b")
+    )
+    swap = F.col("sig") > F.col("leader")
+    one, two = F.when(swap, F.col("leader")).otherwise(F.col("sig")), F.when(swap, F.col("sig")).otherwise(F.col("leader"))
+    n_one, n_two = F.when(swap, F.col("n_b")).otherwise(F.col("n_a")), F.when(swap, F.col("n_a")).otherwise(F.col("n_b"))
+    return pairs.where(_plausible(percent)).select(one.alias("a"), two.alias("b"), n_one.alias("n_a"), n_two.alias("n_b"))
+
+
+def _between_roots(members: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of members of an n-gram that belong to different components."""
+    if roots is None:
+        placed = members.withColumn("root", F.col("sig"))
+    else:
+        placed = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = cut(placed, "placed")
+    by_root = placed.groupBy("gram", "k", "root").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least"))
+    lists = by_root.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "held").alias("largest"), F.min("least").alias("least")).where("roots > 1")
+    # a member whose n-gram comes too late for the smallest partner in the list meets nobody there
+    still = placed.join(lists, ["gram", "k"]).where(f"{100 + percent} * (n - pos) >= {percent} * (n + least)")
+    a, b = (still.select("gram", "k", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "root", "c", "largest")]) for s in "ab")
+    minor = a.where("root_a <> largest_a").drop("largest_a")
+    # two of the lower class of k meet under their own k; two outside the largest component meet once
+    meet = "root_a <> root_b AND (root_b = largest_b OR sig_a < sig_b) AND (c_a = k OR c_b = k)"
+    pairs = minor.join(b, ["gram", "k"]).where(meet).where(_plausible(percent))
+    swap = F.col("sig_a") > F.col("sig_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("sig_a", "sig_b").alias("a"), pick("sig_b", "sig_a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"))
+
+
+def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, rid, n, root for every row of docs; root is null where the set is empty."""
+    source = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", _rid()).select("text", "doc_id", "rid")
+    sets = cut(source.mapInArrow(_sizes(n), "doc_id long, rid binary, n long, low long, sig binary, key long"), "sets")
+    chosen = cut(_survivors(source, sets, n, percent), "survivors")
+    ordered = _ordered(source.select("rid", "text").join(chosen, "rid").select("text", "sig"), n, percent)
+    fragments, sizes = _fragments(ordered)
+    prefix = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - alone as int)")
+    # classes of sizes within a factor of 1 / 0.8 meet in one of two size classes
     size_class = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-    members = shared.select("gram", "sig", "n", "pos", size_class.alias("c")).withColumn("k", F.explode(F.array(F.col("c"), F.col("c") + 1)))
-
-    needed = shared.select("sig").distinct()
-    text_of = sets.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("rid").alias("rid"))
-    texts = source.select("rid", "text").join(text_of, "rid").dropDuplicates(["sig"])
-    fragments = cut(texts.select("text", "sig").mapInArrow(_fragments(n), "sig long, frag int, grams array<long>"), "fragments")
-
-    links, roots = None, None
-    for star in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("sig")) if roots is None else members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        if roots is not None:
-            placed = cut(placed, "placed")
-        by_root = placed.groupBy("gram", "k", "root").agg(F.count(F.lit(1)).alias("held"))
-        by_gram = by_root.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("roots"), F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("same")).where("roots > 1")
-        open_grams = cut(by_gram, "open")
-        cross, open_rows = open_grams.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("same")) / 2), F.sum("all")).first()
-        if not cross:
-            break
-        still = placed.join(open_grams.select("gram", "k"), ["gram", "k"])
-        all_pairs = cross <= 4 * open_rows or star == STAR_ROUNDS
-        if all_pairs:
-            a = still.select("gram", "k", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), F.col("c").alias("c_a"))
-            b = still.select("gram", "k", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), F.col("c").alias("c_b"))
-            # two of the lower class of k meet under their own k
-            pairs = a.join(b, ["gram", "k"]).where("a < b AND root_a <> root_b AND (c_a = k OR c_b = k)").where(_plausible(percent))
-        else:
-            one = F.struct("sig", "n", "pos", "root")
-            leaders = still.groupBy("gram", "k").agg(*[F.min_by(one, F.xxhash64(F.lit(star * LEADERS + i), "sig")).alias(f"l{i}") for i in range(LEADERS)])
-            leaders = leaders.select("gram", "k", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
-            pairs = still.join(leaders, ["gram", "k"]).where("sig <> l.sig AND root <> l.root").select(
-                F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("l.sig").alias("b"), F.col("l.n").alias("n_b"), F.col("l.pos").alias("pos_b")
-            ).where(_plausible(percent))
-        pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
-        new = _verify(pairs, fragments, percent)
-        links = cut(new if links is None else links.unionByName(new), "links")
-        roots = components(links)
-        if all_pairs:
-            break
-    own = F.coalesce(F.col("root"), F.col("sig"))
-    named = sets.select("doc_id", "rid", "n", "sig")
-    named = named.withColumn("root", F.col("sig")) if roots is None else named.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", own)
+    rows = ordered.select("sig", "n", "alone", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("i", "x"))
+    rows = rows.select("sig", "n", "alone", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.gram").alias("gram"), size_class.alias("c"))
+    members = cut(rows.withColumn("k", F.explode(F.array("c", F.col("c") + 1))), "members")
+    links = cut(_verify(_with_leaders(members, percent), fragments, sizes, percent), "links")
+    roots = components(links)
+    rest = cut(_verify(_between_roots(members, roots, percent), fragments, sizes, percent), "rest")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest))
+    named = sets.select("doc_id", "rid", "n", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    named = cut(named.select("doc_id", "rid", "n", F.coalesce("root", "sig").alias("root")), "named")
+    drop_cut(sets, chosen, ordered, fragments, members, links, rest, roots)
+    return named
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, rid, n_shingles, component_id: one row per row of docs (doc_id long, text string)."""
+    named = _named(docs, n, percent)
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(smallest, "root", "left")
-    drop_cut(fragments, shared)
     return joined.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, and those without id."""
-    gone = near_duplicates(docs, n, percent).where("doc_id <> component_id").select("rid").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(3), F.col("doc_id").cast("long"), "text").alias("rid"))
-    return rows.join(gone, "rid", "left_anti").select("row.*")
+    """One row of docs of every component, that of the smallest id (null only where all are), and the rows whose set is empty."""
+    named = _named(docs, n, percent).where("root IS NOT NULL")
+    first = named.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
+    gone = named.select("rid").distinct().join(first.select("rid"), "rid", "left_anti").withColumn("twice", F.lit(False))
+    twice = named.groupBy("rid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("rid", F.lit(True).alias("twice")).join(first.select("rid"), "rid", "left_semi")
+    marked = gone.unionByName(twice)
+    own = docs.select(F.struct("*").alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id")).select("row", _rid().alias("rid"))
+    rows = own.join(marked, "rid", "left").where("twice IS NULL OR twice")
+    repeated = rows.where("twice").groupBy("rid").agg(F.first("row").alias("row"))
+    return rows.where("twice IS NULL").select("row.*").unionByName(repeated.select("row.*"))

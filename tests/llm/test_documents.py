@@ -1,7 +1,6 @@
 """Operators on documents against brute force and library versions, and on odd input."""
 
 import collections
-import hashlib
 import random
 import re
 import zlib
@@ -151,11 +150,11 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("frequent", "stars"), [(64, 8), (3, 8), (3, 0)])
-def test_near_duplicates(spark, monkeypatch, frequent, stars):
-    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", stars)
-    r = random.Random(frequent)
+@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {}), (3, {"FIRST": 0.02}), (4, {"FIRST": 1.0, "BUCKET_GRAMS": 50}), (5, {"FRAGMENTS": 3, "BATCH_ROWS": 7})])
+def test_near_duplicates(spark, monkeypatch, seed, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(seed)
     passage = [f"p{r.randrange(50)}" for _ in range(20)]
     rows = []
     for _ in range(8):
@@ -170,12 +169,44 @@ def test_near_duplicates(spark, monkeypatch, frequent, stars):
     assert got == brute_components(rows)
 
 
+def test_a_large_group_and_a_hot_passage(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(4000)}"
+    base = [word() for _ in range(150)]
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(260):  # one base at every distance, so that some copies link through others only and some with none
+        w = list(base)
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(passage[: r.randint(30, 60)] + [word() for _ in range(r.randint(0, 14))])) for i in range(260, 420)]
+    rows += [(420 + i, rows[i % 3][1]) for i in range(60)]
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 40
+
+
+def test_the_first_count_never_counts_too_little(spark):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice("abcdefg") for _ in range(r.randint(5, 40)))) for i in range(120)]
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("rid", jaccard._rid()).select("text", "doc_id", "rid")
+    sets = source.mapInArrow(jaccard._sizes(5), "doc_id long, rid binary, n long, low long, sig binary, key long")
+    left = {bytes(x.sig) for x in jaccard._survivors(source, sets, 5, 80).collect()}
+    grams = [jaccard.Shingler(5).sets([t.encode()])[0] for _, t in rows]
+    classes = {jaccard._signature(g): set(g.tolist()) for g in grams}
+    held = collections.Counter(x for g in classes.values() for x in g)
+    assert {s for s, g in classes.items() if sum(held[x] > 1 for x in g) >= 0.8 * len(g)} <= left
+
+
 def test_near_duplicates_on_odd_rows(spark):
     found = jaccard.near_duplicates(odd.docs(spark)).collect()
     assert len(found) == len(odd.ROWS)
     assert {(x.doc_id, x.component_id) for x in found} == {(1, 1), (2, 2), (3, 3), (None, None), (4, 4), (5, 1), (6, 6), (7, 7)}
     kept = jaccard.keep_first(odd.docs(spark))
     assert kept.columns == odd.docs(spark).columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted(["1", "2", "3", "None", "4", "6", "7", "7"])
+    again = odd.docs(spark).where("doc_id = 5 OR doc_id IS NULL OR doc_id = 3")
+    assert sorted(str(x.doc_id) for x in jaccard.keep_first(again.unionByName(again)).collect()) == ["3", "3", "5", "None"]
     assert jaccard.near_duplicates(odd.none(spark)).isEmpty()
 
 
@@ -321,4 +352,3 @@ def test_boosting_learns_and_calibrates():
     assert ((p > 0.5) == y[600:]).mean() > 0.9
     t = threshold_for(p, y[600:], 0.98)
     assert y[600:][p >= t].mean() >= 0.98
-    assert hashlib
