@@ -32,36 +32,54 @@ ROUNDS = 6
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkTokenizer:
+#: ASCII marks but the apostrophe, which the vocabulary's pattern reads together with letters behind it.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def _plain(letters: str) -> bool:
+    """Whether this is a run of Latin-1 letters, which NFC leaves alone and lower() maps as the vocabulary's normaliser does."""
+    return letters.isalpha() and (letters.isascii() or max(letters) <= "\xff" and not any(c in letters for c in "\xaa\xb5\xba"))
+
+
+class ChunkTokenizer(dict):
     """Ids of texts from a tokenizers file, remembering the ids of up to `most` space-free chunks.
 
     The vocabulary drops white space and its pattern never joins what a space or line break separates,
-    so that the ids of a text are those of its chunks in order.
+    so that the ids of a text are those of its chunks in order. Nor does it join a run of letters with the
+    marks behind it, so that a chunk of this kind is looked up in two parts, letters in lower case and straight
+    in the vocabulary's byte alphabet.
     """
 
     def __init__(self, file: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__({"": b""})
         self._tokenizer, self._most = Tokenizer.from_file(file), most
-        self._known: dict[str, bytes] = {"": b""}
+        self._model = self._tokenizer.model
+        self._model._resize_cache(0)  # every chunk is asked for once
+        names = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the alphabet's letter of each byte: those of two-byte characters U+0080 to U+00FF and of ASCII
+        self._letters = {c: names.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256))}
+
+    def __missing__(self, chunk: str) -> bytes:
+        letters = chunk.rstrip(_MARKS)
+        if not _plain(letters):
+            ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+        elif len(letters) < len(chunk) or not chunk.islower():
+            coded = self[chunk] = self[letters.lower()] + self[chunk[len(letters) :]]
+            return coded
+        else:
+            ids = [t.id for t in self._model.tokenize(chunk if chunk.isascii() else "".join(map(self._letters.__getitem__, chunk)))]
+        coded = self[chunk] = np.array(ids, "<u4").tobytes()
+        return coded
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, new chunks encoded in long runs."""
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self._known) > self._most:
-            self._known = {"": b""}
-        new = list({c for chunks in cuts for c in chunks if c not in self._known})
-        for i in range(0, len(new), 500):
-            part = new[i : i + 500]
-            begin = np.cumsum([0, *(len(c) + 1 for c in part[:-1])])
-            coded = self._tokenizer.encode("\n".join(part), add_special_tokens=False)
-            # ids come in the order of the text, so that each chunk's are those from its first character on
-            first = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
-            at = np.searchsorted(first, np.r_[begin, first[-1] + 1 if len(first) else 0])
-            ids = np.array(coded.ids, "<u4")
-            self._known.update((c, ids[at[k] : at[k + 1]].tobytes()) for k, c in enumerate(part))
-        get = self._known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cuts]
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self) > self._most:
+            self.clear()
+            self[""] = b""
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _loaded: dict[str, ChunkTokenizer] = {}
