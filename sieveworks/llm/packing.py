@@ -3,10 +3,11 @@
 1. Documents become pieces of at most `capacity` tokens; only longer documents are cut.
 2. Pieces are dealt by hash into groups of bounded size; each group is packed best-fit decreasing.
    Dual feasible functions give a lower bound on the bins that the group needs: where the bound equals
-   the bins used, the group is certified and only its emptiest bin is given up again; a group with a
-   gap gives up all bins that are not full.
+   the bins used, the group is certified and only the emptiest bins, which hold GIVEN_UP of its unused room,
+   are given up again; a group with a gap gives up all bins that are not full.
 3. The documents given up meet those of other groups in fewer, newly dealt groups and are packed again,
-   until one group is left. The least wasteful packing of an exchange stays: a later round never uses
+   until one group is left, IDLE_ROUNDS exchanges in a row save no bin, or the bins of all
+   groups are as few as the bound over all lengths. The least wasteful packing of an exchange stays: a later round never uses
    more bins for the same documents than the round before, as the bins given up are kept where the new
    packing of a group needs as many.
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm._common import cut, slices
 
-#: Exchanges between groups at most. Lengths that BFD packs well need as many as it takes to come to one group.
-ROUNDS = 6
+#: Share of its unused room that a certified group gives up, emptiest bins first.
+GIVEN_UP = 0.9
+#: Exchanges in a row that save no bin, after which no other is made.
+IDLE_ROUNDS = 3
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -114,11 +117,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048,
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound on the bins for these lengths, the best of two families of dual feasible functions."""
-    if not len(lengths):
+    """A lower bound on the bins for these lengths."""
+    return least_bins_by_length(np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1), capacity)
+
+
+def least_bins_by_length(count: np.ndarray, capacity: int) -> int:
+    """The bound from the number of pieces of each length, the best of two families of dual feasible functions."""
+    if not count.any():
         return 0
-    x = np.asarray(lengths, np.int64)
-    count = np.bincount(x, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     total, number = np.cumsum(count * size), np.cumsum(count)
     best = -(-total[-1] // capacity)
@@ -172,12 +178,15 @@ def _packer(capacity: int, round_no: int, last: bool, names: list[str]):
             offsets = rows["offset"].to_numpy()
         else:
             dense = bins
-            ids = (round_no << 56) + (int(rows["group"][0].as_py()) << 24) + np.arange(used)
+            ids = (round_no + 1 << 56) + (int(rows["group"][0].as_py()) << 28) + np.arange(used)
         fill = np.bincount(dense, weights=lengths).astype(np.int64)
         if last:
             open_bins = np.zeros(len(ids), bool)
         elif used <= bound:
-            open_bins = (np.arange(len(ids)) == fill.argmin()) & (fill < capacity)
+            by_gap = np.argsort(fill, kind="stable")
+            gaps = np.cumsum(capacity - fill[by_gap])
+            open_bins = np.zeros(len(ids), bool)
+            open_bins[by_gap[: 1 + np.searchsorted(gaps, GIVEN_UP * gaps[-1])]] = gaps[-1] > 0
         else:
             open_bins = fill < capacity
         new = {"sequence_id": ids[dense], "offset": offsets, "given_up": open_bins[dense], "bins": np.full(len(rows), used), "bound": np.full(len(rows), bound)}
@@ -187,16 +196,21 @@ def _packer(capacity: int, round_no: int, last: bool, names: list[str]):
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000) -> DataFrame:
-    """The pieces with sequence_id and offset. Every length must lie between 1 and capacity."""
+    """The pieces (a written table) with sequence_id and offset. Every length must lie between 1 and capacity."""
     own = pieces.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     schema = f"{kinds}, group int, sequence_id long, offset long, given_up boolean, bins long, bound long"
     names = [*own, "group", "sequence_id", "offset", "given_up", "bins", "bound"]
-    todo = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    n, done, round_no = pieces.count(), None, 0
+    # dealt by row: ids may be null or repeat
+    todo = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    count = np.zeros(capacity + 1, np.int64)
+    for length, times in pieces.groupBy("length").count().collect():  # at most `capacity` rows
+        count[length] = times
+    bound, settled = least_bins_by_length(count, capacity), 0
+    n, done, round_no, before, idle = int(count.sum()), None, 0, None, 0
     while True:
         groups = max(1, -(-n // group_rows))
-        dealt = todo.withColumn("group", F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece", "start") if not round_no else F.xxhash64(F.lit(round_no), "sequence_id"), F.lit(groups)).cast("int"))
+        dealt = todo.withColumn("group", F.pmod(F.xxhash64(F.lit(round_no), "sequence_id"), F.lit(groups)).cast("int"))
         packed = dealt.groupBy("group").applyInArrow(_packer(capacity, round_no, groups == 1, names), schema)
         if groups == 1:
             kept = packed.select(*own, "sequence_id", "offset")
@@ -205,9 +219,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000) -> D
         kept = packed.where("NOT given_up").select(*own, "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
         todo = packed.where("given_up").select(*own, "sequence_id", "offset")
-        n, round_no = todo.count(), round_no + 1
-        if round_no == ROUNDS or not n:  # lengths that leave gaps in any packing: settle with the best found
+        n, used, opened = packed.agg(*[F.expr(f"count_if({c})") for c in ("given_up", "offset = 0", "given_up AND offset = 0")]).first()  # a bin has one piece at 0
+        idle = idle + 1 if before is not None and used >= before else 0
+        if not n or idle == IDLE_ROUNDS or settled + used == bound:
             return done.unionByName(todo)
+        settled, before, round_no = settled + used - opened, opened, round_no + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -232,7 +233,10 @@ def test_sentencepiece_on_odd_rows(spark):
 
 
 def test_chunk_tokenizer_equals_the_library():
-    texts = ["", " a  b c\n\n<|endoftext|>x I'm 'S  Σας ΑΣ. İstanbul \t\x1c y é", "don't  stop", odd.LONG[:2000], "\U0001f999 ﬁ"]
+    r = random.Random(14)
+    parts = ["a", "B", "é", "É", "ß", "ÿ", "Ÿ", "'s", "'t", ",", "&&&", "\x1c", "<|endoftext|>", "1", " ", "\n", "İ", "Σ", "µ", "ª", "-", "~", "×", "ﬁ", "'", "\u0300", "日"]
+    odd_texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)]
+    texts = odd_texts + ["", " a  b c\n\n<|endoftext|>x I'm 'S  Σας ΑΣ. İstanbul \t\x1c y é", "don't  stop", odd.LONG[:2000], "\U0001f999 ﬁ"]
     want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.ChunkTokenizer(WORD).ids(texts)] == want
 
@@ -273,6 +277,17 @@ def test_packing_reaches_the_bound(spark, group_rows):
     assert len(done) == 400 and well_packed(done, 100) <= (bound * 1.05 if group_rows == 25 else bound + 1)
 
 
+def test_packing_null_ids_and_hard_lengths(spark):
+    rows = spark.range(50_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        (F.when(F.col("id") % 2 == 0, F.lit(601)).otherwise(F.lit(333))).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"),
+    )
+    pieces = cut(rows, "pieces")
+    done = packing.pack(pieces, 1000, 4000).collect()
+    assert len(done) == 50_000
+    assert 25_000 <= well_packed(done, 1000) <= 25_250  # 601 + 333 is the best pair; no two groups share a sequence
+
+
 def test_lower_bound_is_one():
     r = random.Random(5)
     for _ in range(200):
