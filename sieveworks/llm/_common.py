@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; where it names none, a temporary one if all runs on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveworks-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -78,3 +80,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = 8 << 20) ->
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def covered(spans: list[tuple[str, int, int]]) -> list[list[int]]:
+    """The places that spans (by start) cover, as separate [start, end] in order."""
+    out: list[list[int]] = []
+    for _, a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out

@@ -1,11 +1,11 @@
 """Personal data by candidate spans and gradient-boosted trees.
 
 High-recall generators propose overlapping spans of every kind; each candidate gets features of its form
-and context; boosted trees score it and a threshold per kind, calibrated on held-out samples for its
+and context; boosted trees score it and a threshold per kind, calibrated on other samples for its
 precision, selects what is redacted. Spans of the four base patterns are always kept. A selected
 candidate is added where it overlaps no base span and no better candidate. The trees are trained on
-`train_rows` generated labelled samples (a documented bound, the same at every data size) with a fixed
-seed, so that every run gives the same model.
+`train_rows` generated labelled samples and calibrated on `calibration_rows` others (documented bounds, the
+same at every data size) with fixed seeds, so that every run gives the same model.
 
 Defined results: null and empty text have no spans; offsets are code points, end exclusive; repeated rows
 repeat; an empty table stays empty; texts are scanned whole, in time linear in their length.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm._common import slices
+from sieveworks.llm._common import covered, slices
 from sieveworks.llm.boosting import BoostedTrees, threshold_for
 
 #: Base kinds, then the kinds that only the trees add, in the order that breaks ties.
@@ -82,7 +83,10 @@ GENERATORS = (
     ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9._+-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,30} ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,6}(?!\w)")),
     ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9._+-]{2,40} at [A-Za-z0-9-]{2,30} dot [A-Za-z]{2,6}(?!\w)")),
     ("phone", re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.-])00[1-9][0-9 ()-]{7,16}[0-9](?!\w)")),
+    ("phone", re.compile(r"(?<![\w+.-])0[0-9]([ .-])(?:[0-9]{2}\1){3}[0-9]{2}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+.-])\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{5,9}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+.-])[6-9][0-9]{2}(?: [0-9]{2}){3}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+.-])00[1-9][0-9 ()-]{7,16}[0-9](?!\w)")),
     ("card", re.compile(r"(?<![\w.])[0-9]{4}([ ./-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -91,12 +95,24 @@ GENERATORS = (
     ("handle", re.compile(r"(?<![\w@.])@[A-Za-z_][A-Za-z0-9_]{3,29}(?!\w)")),
 )
 _HINTS = re.compile(r"[0-9@]|\((?:at|dot)\)|\[(?:at|dot)\]| dot ")
-#: Words that announce a kind.
+#: Words of four languages that announce a kind, and words that announce numbers and names of other kinds.
 CUES = {
-    "email": ("mail", "contact", "write", "reach"), "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact"),
-    "card": ("card", "visa", "credit", "paid", "amex"), "ssn": ("ssn", "social", "security", "tax"), "iban": ("iban", "account", "bank", "transfer"),
-    "ipv6": ("ip", "address", "host", "client"), "mac": ("mac", "device", "hardware"), "handle": ("twitter", "follow", "instagram", "user"),
+    "email": ("mail", "contact", "write", "reach", "kontakt", "schreib", "courriel", "écri", "correo", "escrib"),
+    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact", "anruf", "rufnummer", "handy", "télé", "appel", "portable", "llam", "móvil", "contacto"),
+    "card": ("card", "visa", "credit", "paid", "amex", "karte", "carte", "tarjeta", "mastercard"),
+    "ssn": ("ssn", "social", "security", "tax", "sozialvers", "sécurité", "seguridad"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "überweis", "compte", "virement", "cuenta"),
+    "ipv6": ("ip", "address", "host", "client", "server", "adresse", "dirección"), "mac": ("mac", "device", "hardware", "gerät", "appareil", "dispositivo"),
+    "handle": ("twitter", "follow", "instagram", "user", "folg", "suivez", "sígue", "mastodon", "telegram"),
 }
+OTHER = (
+    "isbn", "order", "version", "invoice", "page", "serial", "sku", "part", "item", "article", "ticket", "room", "figure", "table", "between", "score", "lot ", "bestell",
+    "rechnung", "seite", "artikel", "teil", "commande", "facture", "pièce", "pedido", "factura", "pieza", "página", "date", "datum", "fecha", "decorator", "import", "def ", "css",
+)
+_FILLER = (
+    "the of and to in is that for it was on are as with his they at be this from", "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
+    "de la le et les des en un du une que est pour qui dans a par plus pas au", "de la que el en y a los del se las por un para con no una su al lo",
+)
 
 
 def iban_valid(text: str) -> bool:
@@ -112,6 +128,7 @@ def candidates(text: str) -> list[Span]:
 
 
 def features(text: str, span: Span) -> list[float]:
+    """Form of the span and words around it. No feature says more than the text does: kinds that only context tells apart share the same ones."""
     kind, a, b = span
     s, left, right = text[a:b], text[max(0, a - 40) : a].lower(), text[b : b + 2]
     digits = "".join(c for c in s if c.isdigit())
@@ -119,46 +136,61 @@ def features(text: str, span: Span) -> list[float]:
     groups = re.findall(r"[0-9]+", s)
     checked = luhn(digits) if kind == "card" else iban_valid(s) if kind == "iban" else False
     return [
-        *(float(kind == k) for k in KINDS), len(s), len(digits), len(digits) / len(s), letters, len(groups), max(map(len, groups), default=0),
+        *(float(kind == k) for k in KINDS), len(s), len(digits), len(digits) / len(s), letters, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         float(checked), float("(at)" in s or "[at]" in s or "(dot)" in s or "[dot]" in s), float(" at " in s), float(" dot " in s or "(dot)" in s or "[dot]" in s),
-        float(any(c in left for c in CUES.get(kind, ()))), float(left[-1:].isspace() or not left), float(right[:1] in ("", " ", ".", ",", ";", ")", "\n")),
-        float(s[:1] == "("), float(len(set(digits))), float(groups[0][:1] in ("0", "9") if groups else 0), float("::" in s), float(s.count(":")), float(s.upper() == s),
+        float(any(c in left for c in CUES.get(kind, ()))), float(any(c in left for c in OTHER)), float(left[-1:].isspace() or not left), float(left.rstrip()[-1:] == ":"),
+        float(right[:1] in ("", " ", ".", ",", ";", ")", "\n")), float(right[:1] == "("), float(s[:1] == "("), float(len(set(digits))), float(digits[:1] == "0"),
+        float(groups[0] in ("000", "666") or groups[0][:1] == "9" if groups else 0), float("::" in s), float(s.count(":")), float(s.upper() == s), float("." in s), float("-" in s), float(" " in s),
     ]
 
 
 def _sample(r: random.Random) -> tuple[str, Span, int] | None:
-    """One generated labelled span in a context."""
+    """One generated labelled span in a context of one of four languages. Either label may come with or without an announcing word."""
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice(("an", "er", "on", "tion", "th", "mo", "lis", "ka", "re", "pol")) for _ in range(r.randint(1, 3)))
-    kind = r.choice(("email", "phone", "card", "ssn", "iban", "ipv6", "mac", "handle"))
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(r.choice(("an", "er", "on", "tion", "th", "mo", "lis", "ka", "re", "pol", "schu", "ein", "eau", "oir", "ado", "cion")) for _ in range(r.randint(1, 3)))
+    filler = r.choice(_FILLER).split()
+    some = lambda n: " ".join(r.choice(filler) if r.random() < 0.6 else word() for _ in range(n))
+    top = lambda: r.choice(("com", "org", "net", "de", "fr", "es", "io"))
+    kind = r.choice(("email", "phone", "phone", "card", "ssn", "iban", "ipv6", "mac", "handle"))
     good = r.random() < 0.5
     if kind == "email":
-        at, dot = r.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")))
-        s = f"{word()}.{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}" if good else f"{word()} at {word()} dot {word()[:6]}"
+        at, dot = r.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" [at] ", ".")))
+        s = f"{word()}{r.choice('._-')}{word()}{at}{word()}{dot}{top()}" if good else f"{r.choice(filler)} at {word()} dot {word()[:6]}"
     elif kind == "phone":
-        s = r.choice((f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0049 {digits(3)} {digits(6)}")) if good else r.choice((f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"{digits(3)} {digits(3)} {digits(3)}"))
+        s = r.choice((
+            f"({digits(3)}) 555-{digits(4)}", f"{r.randint(2, 9)}{digits(2)}-{digits(3)}-{digits(4)}", f"0049 {digits(3)} {digits(6)}", f"0{r.randint(1, 9)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+            f"0{r.randint(1, 9)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"0{r.randint(2, 9)}0 {digits(r.randint(6, 8))}", f"0{r.randint(2, 9)}{digits(2)}/{digits(r.randint(5, 8))}", f"{r.randint(6, 9)}{digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+        )) if good else r.choice((
+            f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"{r.randint(1, 9)}{digits(2)} {digits(3)} {digits(3)}", f"{digits(4)} {digits(4)} {digits(4)}", f"20{digits(2)}-{digits(3)}-{digits(3)}",
+            f"00{r.randint(1, 9)}{digits(13)}", f"{digits(2)}/{digits(4)}-{digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{r.randint(1, 9)}{digits(1)}-{digits(6)}",
+        ))
     elif kind == "card":
-        d = "4" + digits(14)
+        d = r.choice("3456") + digits(14)
         d += next(c for c in "0123456789" if luhn(d + c) == good)
         s = r.choice("./ -").join((d[:4], d[4:8], d[8:12], d[12:]))
     elif kind == "ssn":
-        s = f"{digits(3)}-{digits(2)}-{digits(4)}"
+        area = r.randint(1, 899) if good else r.choice((0, 666, r.randint(900, 999), r.randint(1, 899)))
+        s = f"{area:03d}-{digits(2)}-{digits(4)}"
     elif kind == "iban":
+        country = r.choice(("DE", "FR", "ES", "NL", "AT"))
         body = digits(18)
-        check = 98 - int(body + "131400") % 97
-        s = f"DE{check if good else (check + r.randint(1, 90)) % 97:02d}{body}"
+        check = 98 - int(body + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        s = f"{country}{check if good else (check + r.randint(1, 90)) % 97:02d}{body}"
     elif kind == "ipv6":
-        s = ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8)) if good else f"{digits(2)}:{digits(2)}:{digits(2)}"
+        s = r.choice((":".join(hexa(4) for _ in range(8)), f"{hexa(4)}:{hexa(4)}::{hexa(4)}")) if good else r.choice((f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(2)}"))
     elif kind == "mac":
-        s = ":".join("".join(r.choice("0123456789abcdef") for _ in range(2)) for _ in range(6))
-        s = s if good else "-".join((digits(2),) * 6)
+        s = r.choice(":-").join(hexa(2) for _ in range(6)) if good else "-".join((digits(2),) * 6)
     else:
-        s = f"@{word()}_{word()}"
-    cue = r.random() < (0.8 if good else 0.1)
-    if kind in ("ssn", "handle"):
-        cue = good
-    left = f"{word()} {word()} " + (f"{r.choice(CUES[kind])}: " if cue else f"{word()} ")
-    text = f"{left}{s} {word()} {word()}"
+        s = f"@{word()}{r.choice(('_', '', ''))}{word()}{digits(r.choice((0, 0, 2)))}" if good else "@" + r.choice(("property", "media", "Override", "param", "return", "dataclass", word()))
+    roll = r.random()
+    bare = 0.25 if kind in ("card", "iban", "ipv6", "mac", "email", "phone") else 0.1
+    if good:
+        lead = f"{r.choice(CUES[kind])}{r.choice((':', '', ' nr.'))} " if roll > bare else f"{r.choice(OTHER)} " if roll < 0.02 else ""
+    else:
+        lead = f"{r.choice(OTHER)} " if roll < 0.45 else f"{r.choice(CUES[kind])} " if roll > 0.95 else ""
+    left = f"{some(r.randint(1, 5))} {lead}"
+    text = f"{left}{s}{r.choice((' ', '. ', ', ', chr(10)))}{some(3)}"
     for span in candidates(text):
         if span[0] == kind and span[1] >= len(left) - 1:
             return text, span, int(good)
@@ -166,19 +198,22 @@ def _sample(r: random.Random) -> tuple[str, Span, int] | None:
 
 
 class PiiModel:
-    """Boosted trees over candidates and a calibrated threshold per kind."""
-
-    def __init__(self, train_rows: int = 4000, precision: float = 0.98, seed: int = 11):
-        r = random.Random(seed)
-        got = [s for s in (_sample(r) for _ in range(train_rows)) if s]
-        x = np.array([features(t, s) for t, s, _ in got])
-        y = np.array([v for _, _, v in got], float)
-        kinds = np.array([s[0] for _, s, _ in got])
-        held = np.arange(len(y)) % 4 == 0
-        self.trees = BoostedTrees().fit(x[~held], y[~held])
-        p = self.trees.probability(x[held])
-        self.held_out_accuracy = float(((p > 0.5) == (y[held] > 0.5)).mean())
-        self.thresholds = {k: max(0.5, threshold_for(p[kinds[held] == k], y[held][kinds[held] == k], precision)) for k in KINDS if (kinds[held] == k).any()}
+    """Boosted trees over candidates and a threshold per kind, calibrated on samples that the trees have not seen.
+
+    `train_rows` and `calibration_rows` are the numbers of generated samples; pass `labelled`, rows of (text,
+    span, label), to train and calibrate on those instead (every third one calibrates).
+    """
+
+    def __init__(self, train_rows: int = 4000, calibration_rows: int = 3000, precision: float = 0.98, seed: int = 11, labelled: list[tuple[str, Span, int]] | None = None):
+        made = lambda n, k: [s for s in (_sample(r) for r in [random.Random(k)] for _ in range(n)) if s]
+        if labelled:
+            train, held = [x for i, x in enumerate(labelled) if i % 3], labelled[::3]
+        else:
+            train, held = made(train_rows, seed), made(calibration_rows, seed + 1)
+        self.trees = BoostedTrees().fit(np.array([features(t, s) for t, s, _ in train]), np.array([v for *_, v in train], float))
+        p, y, kinds = self.trees.probability(np.array([features(t, s) for t, s, _ in held])), np.array([v for *_, v in held], float), np.array([s[0] for _, s, _ in held])
+        self.held_out_accuracy = float(((p > 0.5) == (y > 0.5)).mean())
+        self.thresholds = {k: max(0.5, threshold_for(p[kinds == k], y[kinds == k], precision)) for k in KINDS if (kinds == k).any()}
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans and all spans, each by start, then kind."""
@@ -186,8 +221,9 @@ class PiiModel:
         proposed = candidates(text)
         if not proposed:
             return base, base
-        taken = [(a, b) for _, a, b in base]
-        proposed = [s for s in dict.fromkeys(proposed) if not _overlaps(s, taken)]
+        taken = covered(base)
+        ends = [b for _, b in taken]
+        proposed = [s for s in dict.fromkeys(proposed) if (k := bisect_right(ends, s[1])) == len(taken) or taken[k][0] >= s[2]]
         if not proposed:
             return base, base
         p = self.trees.probability(np.array([features(text, s) for s in proposed]))
@@ -199,18 +235,8 @@ class PiiModel:
         return base, sorted(base + chosen, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _overlaps(span: Span, taken: list[tuple[int, int]]) -> bool:
-    """taken: by start."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, (span[2], -1))
-    return any(b > span[1] for _, b in taken[max(0, k - 4) : k])
-
-
 def _disjoint(ordered: list[Span]) -> list[Span]:
     """Of spans from best to worst, those that overlap no better one."""
-    from bisect import bisect_left, insort
-
     taken: list[tuple[int, int]] = []
     out = []
     for kind, a, b in ordered:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force and library versions, and on odd input."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sieveworks.llm import jaccard, line_dedup, packing, pii, piece_bpe, quality, secret_scan
-from sieveworks.llm._common import cut
+from sieveworks.llm import jaccard, line_dedup, packing, pii, piece_bpe, quality, queries, secret_scan
+from sieveworks.llm._common import covered, cut
 from sieveworks.llm.boosting import BoostedTrees, threshold_for
 from tests.llm import odd
 
@@ -319,16 +320,65 @@ def test_pii_base_spans():
         assert pii.base_spans(t) == brute_pii(t)
 
 
-def test_pii_model_adds_what_it_should():
+#: Written by hand in four languages; none comes from the training generator.
+PERSONAL = [
+    ("Please call 212-555-0147 after noon", "phone"), ("Tel. 030 1234567 im Büro", "phone"), ("Appelez le 01 23 45 67 89 demain", "phone"), ("Llame al 612 34 56 78 por favor", "phone"),
+    ("write to john.doe (at) mailer (dot) org", "email"), ("schreib an anna_b[at]posteo[dot]de", "email"), ("my ssn: 123-45-6789 thanks", "ssn"), ("IBAN DE89370400440532013000 für die Miete", "iban"),
+    ("follow @jane_doe42 for more", "handle"), ("client 2001:0db8:85a3:0000:0000:8a2e:0370:7334 refused", "ipv6"), ("device 00:1b:44:11:3a:b7 seen", "mac"), ("paid with 4111.1111.1111.1111 yesterday", "card"),
+    ("fax (415) 555-2671", "phone"), ("Handy 0171/2345678", "phone"), ("sígueme en @pablo_ruiz", "handle"),
+]
+IMPERSONAL = (
+    "the meeting is at ten. dot the i|version 1.2.3 of 2020-01-02|chapter 12 34 56|he was at home. And then|ISBN 978-3-16-148410-0|order 123-45-6789 shipped|from 100 200 300 to 400 500 600|"
+    "at 12:30:45 sharp|@property def name|the @media rule|score 21 14 07 35 28|page 123-456-7890|Seite 12 von 300 400|part 1234.5678.9012.3456|in 1914 1918 1939 1945|lot 030 112233|4026083977531333|"
+    "serial 00-11-22-33-44-55-66|between 1000 2000 3000|ratio 10:20:30|Bestellung 2023-555-1234"
+).split("|")
+
+
+def test_pii_model_on_text_of_other_origin():
     m = pii.model()
-    assert m.held_out_accuracy > 0.95
-    base, spans = m.spans("Reach john.doe (at) mailer (dot) org or call 212-555-0147, ssn: 123-45-6789.")
-    assert base == [] and {s[0] for s in spans} >= {"email", "phone", "ssn"}
-    for clean in ("the meeting is at ten. dot the i", "version 1.2.3 of 2020-01-02", "chapter 12 34 56", "he was at home. And then", "4026083977531333"):
-        assert m.spans(clean) == ([], [])
+    hit = sum(any(s[0] == kind for s in m.spans(t)[1]) for t, kind in PERSONAL)
+    false = [t for t in IMPERSONAL if m.spans(t)[1]]
+    assert m.held_out_accuracy > 0.95 and hit >= 13 and len(false) <= 1  # recall 0.87, precision 0.93 at least
     assert pii.redact("a b@c.de x", [("email", 2, 8)]) == "a [EMAIL] x"
 
 
+def test_candidates_stay_off_nested_base_spans():
+    text = "+1 " + " ".join(f"1.2.3.{i}" for i in range(1, 3)) + " 4111 1111 1111 1111"
+    base, spans = pii.model().spans(text)
+    assert all(any(a <= s[1] and s[2] <= b for a, b in covered(base)) or all(s[2] <= a or s[1] >= b for a, b in covered(base)) for s in spans)
+    assert covered([("x", 0, 9), ("x", 1, 2), ("x", 3, 4), ("x", 8, 12), ("x", 12, 13)]) == [[0, 12], [12, 13]]
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_scan_queries_equal_brute_force(spark):
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for query, brute, kinds in ((queries.op6_personal_data, brute_pii, pii.KINDS[:4]), (queries.op7_secrets, brute_secrets, secret_scan.KINDS[:3])):
+        rows = query(spark, "/root/testdata/sf0.001").collect()
+        assert len(rows) == len(texts)
+        for x in rows:
+            want = brute(texts[x.doc_id])
+            assert [x[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in want) for k in kinds]
+            assert x.base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest()
+            assert set(listed(want).split(",")) - {""} <= set(x.spans.split(","))
+
+
+def test_packing_and_pieces_queries_equal_the_libraries(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for x in queries.op5_sentencepiece(spark, sf).collect():
+        ids = sp.encode(texts[x.doc_id])
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+    lib, rows = Tokenizer.from_file(WORD), queries.op1_best_fit_packing(spark, sf).collect()
+    want = {(i, p, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for i, t in texts.items() for ids in [lib.encode(t, add_special_tokens=False).ids + [0]] for p, s in enumerate(range(0, len(ids), 2048))}
+    assert {(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in rows} == want and len(rows) == len(want)
+    assert well_packed(rows, 2048) <= packing.least_bins(np.array([x.length for x in rows]), 2048) + 1
+
+
 def brute_secrets(t):
     word = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
     out = [("assign", m.start(), m.end()) for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
@@ -345,12 +395,23 @@ def test_secret_base_spans():
         assert secret_scan.base_spans(t) == brute_secrets(t)
 
 
-def test_secret_model_tells_random_from_ordinary():
+#: Written by hand; none comes from the training generator.
+KEYS = (
+    "ghp_x7Kq92LmZp4RtYw8VbNc3DfGh6JkS1aQ wqzvkxjhpfgtrbnm qkxvjzwpfhtnbrdsmcgl XKQJZWVPFHTNBRDSMCGL sk-9aXbQ2LmZpRtYw8VbNc3DfGh eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 Zx9vQ2kLm8pT "
+    "AIzaSyD4kfJ7Gq2mXv9LpWz8RtYuB3nHc6 JBSWY3DPEHPK3PXPQ2WKDF7A f3Kq9ZmX1vB7"
+).split()
+NAMES = (
+    "get_user_account_list_by_name2 src/components/header/index2.html thereonshtionthonanereheation1 Donaudampfschifffahrtsgesellschaft internationalization anticonstitutionnellement "
+    "192.168.100.200 AbstractSingletonProxyFactoryBean 2024-01-02T03:04:05 THEREFORETHERATION Rechtsschutzversicherung 550e8400-e29b-41d4-a716-446655440000 hunter2hunter2 www.example.org/index "
+    "desafortunadamente MAX_BUFFER_SIZE_BYTES camelCaseIdentifierName ================ Lebensversicherungsgesellschaft électroencéphalographie"
+).split()
+
+
+def test_secret_model_on_tokens_of_other_origin():
     m = secret_scan.model()
-    assert m.held_out_accuracy > 0.97
-    assert [s[0] for s in m.spans("key ghp_x7Kq92LmZp4RtYw8VbNc3DfGh6JkS1aQ here")[1]] == ["random"]
-    for clean in ("get_user_account_list_by_name2", "src/components/header/index2.html", "thereonshtionthonanereheation1"):
-        assert m.spans(clean) == ([], [])
+    found = [w for w in KEYS if [s[0] for s in m.spans(f"see {w} here")[1]] == ["random"]]
+    assert m.held_out_accuracy > 0.97 and len(found) >= 9 and [w for w in NAMES if m.spans(f"see {w} here")[1]] == []
+    assert m.spans("a " + "é" * 30 + " b") == ([], [])
 
 
 def test_scans_on_odd_rows(spark):
