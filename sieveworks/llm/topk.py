@@ -1,12 +1,12 @@
 """Exact top-k inner-product search by aggregation without random access.
 
 Vectors are cut into blocks of bounded size and queries into blocks of their own; every query block meets
-every vector block in one task. Inside a task the dimensions are cut into `LISTS` groups. Each group
-gives one list of partial scores per query, sorted from the highest down. The lists are read in order,
-deeper each round: an item's lower bound takes the least value of the lists in which it was not yet
-seen, its upper bound their frontier. Reading stops for a query once no item outside its few candidates
-can reach the k-th best lower bound or the k-th best final score of earlier vectors; the candidates'
-final scores are then resolved and the best k kept. The local results of all blocks are merged by rank.
+every vector block in one task. Inside a task each dimension gives one list of the block's values, sorted once
+for all queries. A query reads the lists in sequence, from the end that its weight prefers, deeper each round:
+an item's lower bound takes the last value of the lists in which it was not yet seen, its upper bound their
+frontier. Reading stops once few items outside those with final scores can reach the k-th best lower bound
+or the k-th best final score of earlier vectors; the final scores of these few are then resolved and
+the best k kept. The local results of all blocks are merged by rank.
 
 Defined results: a null vector, one that holds a null or a component that is not finite, and a row
 without id take no part; a shorter vector counts as padded with zeros; empty vectors score 0; ties go to
@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LISTS = 4
-#: Rows of a vector block, of the part of it scanned at a time, of a query block and of its parts.
-VECTOR_ROWS, SCAN_ROWS, QUERY_ROWS, QUERY_PART = 8192, 4096, 2048, 64
+#: Rows of a vector block, of the part of it whose lists are read together, of a query block.
+VECTOR_ROWS, SCAN_ROWS, QUERY_ROWS = 8192, 4096, 2048
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -50,52 +49,76 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_k(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its row number, the ids of its k best vectors and their scores."""
+class Lists:
+    """One list per dimension of a block of vectors, sorted once and read from either end, never by item."""
+
+    def __init__(self, v: np.ndarray):
+        self.items = np.argsort(v, axis=0, kind="stable")
+        self.values = np.take_along_axis(v, self.items, 0).astype(np.float64)
+        self.read = 0
+
+    def bounds(self, q: np.ndarray, depth: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bound of every item's score after `depth` entries of each list, `before` of them read earlier.
+
+        A positive weight reads its list from the largest value down, a negative one from the smallest up. For the
+        lists in which an item was not seen, the upper bound takes their frontier and the lower bound their last value.
+        """
+        n = len(self.items)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        self.read += (depth - before) * (len(up) + len(down))
+        at = np.concatenate([self.items[n - depth :, up].ravel(), self.items[:depth, down].ravel()])
+        weight = np.concatenate([q[up], q[down]]).astype(np.float64)
+        part = np.concatenate([(self.values[n - depth :, up] * q[up]).ravel(), (self.values[:depth, down] * q[down]).ravel()])
+        front = weight * np.concatenate([self.values[n - depth, up], self.values[depth - 1, down]])
+        last = weight * np.concatenate([self.values[0, up], self.values[n - 1, down]])
+        each = lambda x: np.concatenate([np.broadcast_to(x[: len(up)], (depth, len(up))).ravel(), np.broadcast_to(x[len(up) :], (depth, len(down))).ravel()])
+        lower = np.bincount(at, part - each(last), n) + last.sum()
+        upper = np.bincount(at, part - each(front), n) + front.sum()
+        return lower, upper
+
+
+def top_k(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, count: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its row number, the ids of its k best vectors and their scores. `count` gets the list entries read for each block."""
     order = np.argsort(v_ids, kind="stable")
     v, v_ids = v[order], v_ids[order]
-    cuts = np.linspace(0, q.shape[1], LISTS + 1).astype(int)
-    exact = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) < 2**52
-    kind = np.float64 if exact else np.int64  # doubles hold these sums exactly
-    q, v = q.astype(kind), v.astype(kind)
-    low = np.iinfo(np.int64).min // 8
+    most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0))
+    slack = 0.0 if most < 2**50 else most * 1e-13 * max(1, q.shape[1])  # doubles hold smaller sums exactly
+    low = -(2**62)
     best = np.full((len(q), k), low, np.int64)
     best_ids = np.zeros((len(q), k), np.int64)
+
+    def resolve(i: int, part: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """Take the final scores of the vectors at these places of a block."""
+        scores, names = np.r_[best[i], part[at] @ q[i]], np.r_[best_ids[i], ids[at]]
+        top = np.lexsort((names, -scores))[:k]
+        best[i], best_ids[i] = scores[top], names[top]
+
     for s in range(0, len(v), SCAN_ROWS):
         part, ids = v[s : s + SCAN_ROWS], v_ids[s : s + SCAN_ROWS]
         n = len(part)
-        for a in range(0, len(q), QUERY_PART):
-            own = q_ids[a : a + QUERY_PART]
-            lists = [q[a : a + QUERY_PART, c:d] @ part[:, c:d].T for c, d in zip(cuts, cuts[1:])]
-            least = [x.min(1, keepdims=True) for x in lists]
-            mine = own[:, None] == ids[None, :]
-            open_rows = np.arange(len(own))
-            depth = min(n, 64)
-            while len(open_rows):
-                lower = np.zeros((len(open_rows), n), kind)
-                upper = np.zeros((len(open_rows), n), kind)
-                for x, floor in zip(lists, least):
-                    x, floor = x[open_rows], floor[open_rows]
-                    frontier = np.partition(x, n - depth, axis=1)[:, n - depth : n - depth + 1]
-                    seen = x >= frontier
-                    lower += np.where(seen, x, floor)
-                    upper += np.where(seen, x, frontier)
-                lower[mine[open_rows]] = low
-                upper[mine[open_rows]] = low
-                bar = best[a + open_rows, k - 1].astype(kind)
-                if n >= k:
-                    bar = np.maximum(bar, np.partition(lower, n - k, axis=1)[:, n - k])
-                rivals = (upper >= bar[:, None]) & (upper > low)
-                few = (rivals.sum(1) <= max(8 * k, n // 32)) | (depth == n)
-                for r in np.flatnonzero(few):
-                    row = open_rows[r]
-                    at = np.flatnonzero(rivals[r])
-                    score = sum(x[row, at] for x in lists).astype(np.int64)
-                    all_scores, all_ids = np.r_[best[a + row], score], np.r_[best_ids[a + row], ids[at]]
-                    top = np.lexsort((all_ids, -all_scores))[:k]
-                    best[a + row], best_ids[a + row] = all_scores[top], all_ids[top]
-                open_rows = open_rows[~few]
-                depth = min(n, depth * 8)
+        lists = Lists(part)
+        for i in range(len(q)):
+            open_items = ids != q_ids[i]
+            depth, before = max(1, n // 8), 0
+            while True:
+                lower, upper = lists.bounds(q[i], depth, before)
+                lower, upper = np.where(open_items, lower - slack, -np.inf), np.where(open_items, upper + slack, -np.inf)
+                if not before:  # the most promising ones set the bar
+                    first = np.argpartition(-upper, min(k, n - 1))[: k + 1]
+                    first = first[open_items[first]]
+                    resolve(i, part, ids, first)
+                    open_items[first] = False
+                    lower[first] = upper[first] = -np.inf
+                bar = float(best[i, k - 1]) if best[i, k - 1] > low else -np.inf
+                if n > k:
+                    bar = max(bar, np.partition(lower, n - k)[n - k])
+                rivals = np.flatnonzero(open_items & (upper >= bar))
+                if len(rivals) <= max(8 * k, n // 4) or depth == n:
+                    resolve(i, part, ids, rivals)
+                    break
+                depth, before = min(n, depth + max(1, n // 8)), depth
+        if count is not None:
+            count.append(lists.read)
     for i in range(len(q)):
         real = best[i] > low
         yield i, best_ids[i][real], best[i][real]

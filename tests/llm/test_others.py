@@ -92,10 +92,26 @@ def test_top_k_equals_brute_force(seed, monkeypatch):
         assert got.tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
 
 
+def test_top_k_with_large_numbers():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-(2**29), 2**29, size=(90, 6))
+    for i, got, scores in topk.top_k(v[:9], np.arange(9), v, np.arange(90), 5):
+        order = [j for j in np.lexsort((np.arange(90), -(v @ v[i]))) if j != i][:5]
+        assert got.tolist() == order and scores.tolist() == (v @ v[i])[order].tolist()
+
+
+def test_lists_are_read_in_part():
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * rng.normal(size=(3000, 16)) / 4).astype(np.int64)
+    read: list[int] = []
+    list(topk.top_k(v[:30], np.arange(30), v, np.arange(3000), 5, read))
+    assert 0 < sum(read) < 0.7 * 30 * 3000 * 16
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [0.5, None]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, 0.5]), (6, []), (None, [1.0]), (7, [2.0]), (7, [2.0]), (100, [-1e-9, 3.0])]
-    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("x")).withColumn("qb", F.lit(1)).withColumn("score", F.lit(2)))
     assert sorted(x.vec_id for x in v.collect()) == [0, 5, 6, 7, 7, 100] and v.where("vec_id = 100").first().v == [-1, 768]
     got = [(x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(v, v.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got[:5] == [(0, 1, 7, 131072), (0, 2, 7, 131072), (0, 3, 100, 98048), (0, 4, 5, 81920), (0, 5, 6, 0)] and len(got) == 10
