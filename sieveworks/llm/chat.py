@@ -69,38 +69,33 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans (start from 0 and length, in code points).
+    """One row per conversation: conv_id, formatted, loss_spans.
 
-    The loss spans cover the escaped text of each assistant message and nothing between.
+    loss_spans has (at, start, length) of every message in order, in code points from 0: where it begins, and the part
+    under the loss mask, which is the escaped text of an assistant message and has length 0 in any other. Places are
+    running sums, so that a conversation of any number of turns costs time in proportion.
     """
     m = messages.select("conv_id", "turn", "part", F.col("role"), escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
     m = m.withColumn("head", F.concat(F.lit("<|"), F.col("r"), F.lit("|>")))
-    entry = F.struct(
-        "turn", "part", F.concat("head", "t", F.lit(END)).alias("shown"), F.length("head").alias("head_chars"),
-        F.length("t").alias("text_chars"), (F.col("role") == "assistant").alias("learned"),
-    )
-    c = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def step(acc, x):
-        span = F.struct((acc["at"] + x["head_chars"]).alias("start"), x["text_chars"].cast("long").alias("length"))
-        size = x["head_chars"] + x["text_chars"] + F.lit(len(END))
-        spans = F.when(x["learned"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + size).alias("at"), spans.alias("spans"))
-
-    return c.select(
-        "conv_id",
-        F.array_join(F.transform("entries", lambda x: x["shown"]), "").alias("formatted"),
-        F.aggregate("entries", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
-    )
+    m = m.select("conv_id", "turn", "part", F.concat("head", "t", F.lit(END)).alias("shown"), F.length("head").alias("before"), F.length("t").alias("size"), (F.col("role") == "assistant").alias("learned"))
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = (F.col("before") + F.col("size") + F.lit(len(END))).cast("long")
+    m = m.withColumn("at", F.sum(own).over(so_far) - own)
+    span = F.struct("at", (F.col("at") + F.col("before")).alias("start"), F.when(F.col("learned"), F.col("size")).otherwise(0).cast("long").alias("length"))
+    c = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "part", "shown", span.alias("span")))).alias("entries"))
+    return c.select("conv_id", F.array_join(F.transform("entries", lambda x: x["shown"]), "").alias("formatted"), F.transform("entries", lambda x: x["span"]).alias("loss_spans"))
+
+
+def _shown(formatted: Column) -> Column:
+    """The rendered messages without their ends. No text holds an end, as its control strings are escaped."""
+    parts = F.split(formatted, r"<\|end\|>\n", -1)
+    return F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
 def parse(formatted: Column) -> Column:
     """The messages read back from a rendering: array of (role, text)."""
-    parts = F.split(formatted, r"<\|end\|>\n", -1)
-    shown = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.transform(
-        shown,
+        _shown(formatted),
         lambda x: F.struct(
             unescape(F.substring_index(F.substring(x, 3, 1 << 30), "|>", 1)).alias("role"),
             unescape(F.substring(x, F.instr(x, "|>") + 2, F.lit(1 << 30))).alias("text"),
@@ -109,8 +104,32 @@ def parse(formatted: Column) -> Column:
 
 
 def learned_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order; each span is cut out of its own message."""
+    inside = lambda x, s: unescape(F.substring(x, (s["start"] - s["at"] + 1).cast("int"), s["length"].cast("int")))
+    return F.array_join(F.zip_with(_shown(formatted), spans, inside), "")
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    """An event log that folds back to rows (conv_id, turn, role, text), as a chat service would have written it.
+
+    An assistant row is a draft, a regeneration and three deltas; another row in an odd turn is a draft that an edit
+    replaces, in an even turn (or none) a message and a delta. Rows of one turn follow each other by role, then text.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    n = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(role, text))
+    r = rows.select("conv_id", "turn", "role", text.alias("text"), (n * 8).cast("long").alias("n"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    piece = lambda a, b: F.substring("text", a + 1, b - a)
+    end = F.length("text")
+    event = lambda i, kind, said: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.when(F.lit(kind == "message"), F.col("role")).alias("role"), said.alias("text"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    answer = F.array(
+        event(0, "message", piece(third, 2 * third)), event(1, "regenerate", none), event(2, "delta", piece(zero, third)), event(3, "delta", piece(third, 2 * third)), event(4, "delta", piece(2 * third, end))
+    )
+    edited = F.array(event(0, "message", piece(zero, third)), event(1, "edit", F.col("text")))
+    typed = F.array(event(0, "message", piece(zero, third)), event(1, "delta", piece(third, end)))
+    log = F.when(F.col("role") == "assistant", answer).when(F.col("turn") % 2 == 1, edited).otherwise(typed)
+    return r.select("conv_id", "turn", "n", F.explode(log).alias("e")).select("conv_id", "turn", (F.col("n") + F.col("e.i")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

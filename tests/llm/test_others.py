@@ -146,9 +146,39 @@ def test_escapes_are_reversible(spark):
         assert x.formatted.count("<|end|>") == 1 and "[INST]" not in x.formatted and "</s>" not in x.formatted
 
 
+def test_rows_become_events_and_fold_back(spark):
+    said = "one two </s> three 🦙 <|end|>\n"
+    rows = [(1, t, ("user", "assistant", "system", None)[t % 4], said[: 3 * t]) for t in range(12)] + [(1, 3, "user", "b"), (1, 3, "user", "b"), (1, 3, "assistant", "a"), (2, None, None, None), (None, 0, "assistant", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("s")).withColumn("kind", F.lit(5))
+    log = chat.events_of(frame)
+    assert {x.kind for x in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    done = chat.format_chats(log)
+    got = {x.conv_id: [(t.role, t.text) for t in x.t] for x in done.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
+    want = collections.defaultdict(list)
+    for c, _, role, text in sorted(rows, key=lambda x: (str(x[0]), x[1] or 0, x[2] or "", x[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert got == want
+    for x in done.collect():
+        assert all(x.formatted[s.start : s.start + s.length] == "" or x.formatted[s.at : s.start] == "<|assistant|>" for s in x.loss_spans)
+
+
+def test_a_long_conversation_costs_linear_time(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("say "), F.col("id")).alias("text"))
+    started = time.monotonic()
+    done = chat.format_chats(chat.events_of(rows)).select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.length(chat.learned_text(F.col("formatted"), F.col("loss_spans"))).alias("loss"))
+    assert done.first() == (100_000, sum(len(f"say {i}") for i in range(1, 100_000, 2))) and time.monotonic() - started < 60
+
+
+def test_long_and_clashing_chat_rows(spark):
+    rows = [(7, 0, "user", "x~" * 400_000), (7, 1, "assistant", "é" * 500_000)]
+    done = chat.format_chats(chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("part", F.lit(1))))
+    (got,) = done.select(chat.parse(F.col("formatted")).alias("t"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert [t.text for t in got.t] == [r[3] for r in rows] and got.loss == rows[1][3]
+
+
 def test_chat_plan_is_native(spark):
     e = spark.createDataFrame([(1, 0, 0, "message", "user", "a")], "conv_id long, turn long, seq long, kind string, role string, text string")
-    assert "Python" not in chat.format_chats(e)._jdf.queryExecution().toString()
+    assert "Python" not in chat.format_chats(chat.events_of(e))._jdf.queryExecution().toString()
 
 
 # pipeline
