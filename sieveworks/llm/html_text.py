@@ -4,9 +4,9 @@ Markup is stripped to lines, one per block element. The text lengths of the line
 sliding window; the main text begins at a surge (a window sum that reaches the threshold where the one
 before did not) and ends at the following dive (the window sum falls below it for good or to nothing).
 Lines that cannot be main text weigh nothing: those inside scripts, styles, navigation, headers, footers,
-sidebars, forms and comments, inside elements whose class or id names such a part, and, where the page
-marks its article, those outside it. Inside a marked article the threshold is one character, as the
-page has said what belongs to it.
+sidebars, forms and comments, inside elements whose class, id or role names such a part, and, where the page
+marks one or more articles, those outside them. A line of a marked article weighs THRESHOLD more than its
+length. The threshold is THRESHOLD, or half of the page's largest window sum where that is less.
 
 Defined results: a null, empty or text-free page gives the empty text; repeated rows repeat; an empty
 table stays empty; markup that never ends is text or runs to the end of the page as browsers read it;
@@ -27,6 +27,7 @@ from sieveworks.llm._common import slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"  # foreign elements may close themselves
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*+)(?:(?P<rest>(?!=)[^>\"'=]{0,256}+(?:(?<![\s/\"'])=(?:\"[^\"]{0,512}\"|'[^']{0,512}'|[^\s>\"'][^\s>\"']{0,256}+)[^>\"'=]{0,256}+){0,16}+)>)?"
     r"|<[!?][^>]*>|</[^>]*>",
@@ -35,7 +36,7 @@ _TOKEN = re.compile(
 #: One attribute, or what stands between two. A quote opens a value after = only, and only if it closes.
 _ATTRIBUTE = re.compile(r"[\s/]++|[^\s/>][^\s/>=]{0,255}+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+")
 _SPACE = re.compile(r"\s+")
-_NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|=\s*+(?:\"[^\"]*+\"|'[^']*+')", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|=\s*+(?:\"[^\"]*+\"|'[^']*+')", re.I)
 
 #: Elements that end a line, elements without an end, elements that never hold main text.
 BLOCKS = frozenset(
@@ -45,13 +46,33 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form menu head title button dialog fieldset".split())
-#: Words of a class, id or role that name a part outside the main text.
-CHROME_WORDS = re.compile(
-    r"(?<![a-z])(?:ad|ads|advert|adverts|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|sidebar|side-bar|rail|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|header|masthead|footer|foot|copyright|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommended|widget|comment|comments|commentlist|disqus|replies|respond|pagination|pager|toolbar|skip-link|"
-    r"complementary|contentinfo|search|alert|dialog|form)(?![a-z])"
+#: Words of a class, id or role that name a part outside the main text, and words for what holds such a part.
+CHROME_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion sidebar rail nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot copyright "
+    "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended widget comment comments commentlist disqus replies "
+    "respond pagination pager toolbar complementary contentinfo search alert dialog form".split()
 )
+HOLDERS = frozenset("list box container wrapper wrap area slot section block bar links posts articles stories buttons unit panel inner content items".split())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _names_chrome(names: str, tag: str, inside: bool) -> bool:
+    """Whether an element's names call it a part outside the main text.
+
+    Outside a marked article one such word in any name will do. Inside, where a section may well be called
+    related-work or header-image, the word must be the whole name or its last part, or be followed by a word for
+    a holder; headings are text there.
+    """
+    if inside and tag in _HEADINGS:
+        return False
+    for name in names.split():
+        parts = re.split(r"[^a-z]+", name)
+        hit = [p in CHROME_WORDS for p in parts]
+        if any(hit) and (not inside or hit[-1] or (hit[0] and parts[-1] in HOLDERS)):
+            return True
+    return False
+
+
 _MAIN_WORDS = re.compile(r"(?<![a-z])(?:article-body|articlebody|post-content|post-body|entry-content|article-content|story-body|main-content)(?![a-z])")
 _MARKS = frozenset(("article", "main"))
 
@@ -138,8 +159,8 @@ def _lines(page: str) -> list[tuple[str, int, int, int]]:
         if tag and not closing and k > chrome_until:
             names = _names(rest)
             marked = tag in _MARKS or (names and (_MAIN_WORDS.search(names) or "main" in names.split()))
-            named = bool(names) and not marked and CHROME_WORDS.search(names) is not None or tag == "article" and "comment" in names
             inside = k <= article_until
+            named = bool(names) and not marked and _names_chrome(names, tag, inside) or tag == "article" and "comment" in names
             if tag not in ("html", "body") and (named or (tag in CHROME and not (tag == "header" and inside))):
                 end = close.get(k)
                 if end is None and tag in ("p", "li", "dd", "dt", "td", "th"):
@@ -160,44 +181,46 @@ def _lines(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def surges(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Runs (first line, line after the last) between surge and dive points of the windowed length sums."""
-    n = len(lengths)
-    total, sums = 0, []
-    for i in range(n + window - 1):  # sums[i]: lines i - window + 1 to i
-        total += (lengths[i] if i < n else 0) - (lengths[i - window] if i >= window else 0)
+def window_sums(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """For each line, the sum of the lengths from it on over the window."""
+    total, sums = sum(lengths[:window]), []
+    for i in range(len(lengths)):
         sums.append(total)
-    ahead = sums[window - 1 :]  # the sum from line i on
+        total += (lengths[i + window] if i + window < len(lengths) else 0) - lengths[i]
+    return sums
+
+
+def surges(lengths: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Runs (first line, line after the last) between surge and dive points of the windowed length sums.
+
+    A run starts at a line with text whose sum reaches the threshold, and ends at the next line without text whose sum does not.
+    """
     runs, start = [], None
-    for i in range(n):
+    for i, (length, ahead) in enumerate(zip(lengths, window_sums(lengths, window))):
         if start is None:
-            if lengths[i] and ahead[i] >= threshold:
+            if length and ahead >= threshold:
                 start = i
-        elif not lengths[i] and ahead[i] < threshold:
+        elif not length and ahead < threshold:
             runs.append((start, i))
             start = None
     if start is not None:
-        runs.append((start, n))
+        runs.append((start, len(lengths)))
     return runs
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by one space."""
     lines = _lines(page or "")
-    if not lines:
-        return ""
-    by_article: dict[int, int] = {}
-    for line, chrome, article, _ in lines:
-        if article >= 0 and not chrome:
-            by_article[article] = by_article.get(article, 0) + len(line)
-    if by_article:
-        best = max(by_article, key=lambda a: (by_article[a], -a))
-        lengths = [0 if chrome or article != best else len(line) for line, chrome, article, _ in lines]
-        runs = surges(lengths, threshold=1)
-    else:
-        lengths = [0 if chrome or 2 * link > len(line) else len(line) for line, chrome, _, link in lines]
-        runs = surges(lengths) or surges(lengths, threshold=1)
-    return " ".join(lines[i][0] for a, b in runs for i in range(a, b) if lengths[i])
+    marked = any(article >= 0 and not chrome for _, chrome, article, _ in lines)
+    weights = []
+    for line, chrome, article, link in lines:
+        if chrome or (article < 0 if marked else 2 * link > len(line)):
+            weights.append(0)
+        else:  # the page's own mark is as good a sign as a window full of text
+            weights.append(len(line) + THRESHOLD * marked)
+    # the page's own distribution sets the threshold where all of its blocks are short
+    threshold = min(THRESHOLD, (max(window_sums(weights), default=0) + 1) // 2)
+    return " ".join(lines[i][0] for a, b in surges(weights, threshold=max(1, threshold)) for i in range(a, b) if weights[i])
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -1,8 +1,10 @@
 """Pages, vectors, conversations, the pipeline and the registered queries."""
 
 import collections
+import html
 import os
 import random
+import re
 import time
 
 import duckdb
@@ -66,8 +68,66 @@ def test_tags_without_an_end_cost_linear_time():
     assert time.monotonic() - started < 20
 
 
-def test_surges():
-    assert html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86) == [(1, 6)] or html_text.surges([0, 5, 0, 90, 10, 80, 0, 0, 0, 3, 0], 3, 86)[0][1] == 6
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>a one</p><svg class="i"/><p>b two</p></article>', "a one b two"),
+        ('<article><p>a one</p><svg class="i/>">x</svg><math/><p>b two</p></article>', "a one b two"),
+        ("<article><p>First story.</p></article><aside>x</aside><article><p>Second one, and longer.</p></article><article class=comment><p>Nice!</p></article>", "First story. Second one, and longer."),
+        ('<article><h2 id="related-work">Related work</h2><section id="search-theory"><p>Of search.</p></section><div class="header-image"><p>Fig. 1</p></div><p aria-label="Form of it">x = 1</p></article>', "Related work Of search. Fig. 1 x = 1"),
+        ('<article><p>Text.</p><div class="ad-box">Buy</div><div class="related-posts">More</div><div class="cookie-notice">Ok?</div><ul class="comment-list"><li>No</li></ul><form>q</form></article>', "Text."),
+        ("<p>a", "a"),
+        ("<p>short one</p><p>short two</p>", "short one short two"),
+        ("<body>no blocks at all", "no blocks at all"),
+        ("<ul>" + "<li><a href=x>menu</a></li>" * 9 + "</ul><p>" + "word " * 40 + "</p><ul>" + "<li><a href=y>more</a></li>" * 9 + "</ul>", ("word " * 40).strip()),
+        ("<p>1 &lt; 2 &amp;amp; &#x41;&nbsp;&unknown;</p>", "1 < 2 &amp; A &unknown;"),
+        ("<main><article><p>in</p></article><p>both</p></main>", "in both"),
+        ("<article></article>", ""),
+        ("<script>if (a < b) {</script><p>after", "after"),
+        ("<p>a < b and c > d</p>", "a < b and c > d"),
+        ("<article><pre>x\n  y</pre><table><tr><td>1</td><td>2</td></tr></table></article>", "x y 1 2"),
+        ("<!-- <p>no</p> --><p>yes</p><!-- open", "yes"),
+        ("<P CLASS=NAV>gone</P><P>kept", "kept"),
+        ("<article><header><h1>Head</h1></header><p>Body</p><footer>By x</footer></article>", "Head Body"),
+        ("<textarea>typed</textarea><p>said", "said"),
+        ("</p></div><p>x</p></article>", "x"),
+    ],
+)
+def test_odd_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def plain_surges(lengths, window, threshold):
+    """The definition, line by line."""
+    ahead = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    kept, inside = [], False
+    for i, n in enumerate(lengths):
+        inside = (n > 0 and ahead[i] >= threshold) if not inside else (n > 0 or ahead[i] >= threshold)
+        kept.append(inside)
+    return kept
+
+
+def test_surges_equal_the_definition():
+    r = random.Random(15)
+    for _ in range(3000):
+        lengths = [r.choice([0, 0, 3, 40, 90, 200]) for _ in range(r.randrange(14))]
+        window, threshold = r.randint(1, 5), r.choice([1, 50, 86, 200])
+        kept = [False] * len(lengths)
+        for a, b in html_text.surges(lengths, window, threshold):
+            kept[a:b] = [True] * (b - a)
+        assert kept == plain_surges(lengths, window, threshold)
+
+
+def test_pages_query_gives_the_articles_of_the_test_pages(spark):
+    """Every page of the tables marks one article; cutting out its parts of known markup leaves the text."""
+    pages = {x.page_id: x.html for x in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    packed = lambda t: re.sub(r"\s+", "", html.unescape(t))
+    for x in queries.op8_main_text(spark, SF).collect():
+        found = re.search(r"<article\b[^>]*>(.*)</article>", pages[x.page_id] or "", re.S)
+        body = found[1] if found else ""
+        for part in (r"<!--.*?-->", r"<(script|style|aside|form|nav)\b.*?</\1>", r'<div class="ad">.*?</div>', r"<[^>]*>"):
+            body = re.sub(part, " ", body, flags=re.S)
+        assert packed(x.text) == packed(body) and x.n_chars == len(x.text)
 
 
 def test_pages_odd_rows(spark):
