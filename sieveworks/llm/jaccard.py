@@ -40,8 +40,8 @@ from sieveworks.llm.components import components
 
 FIRST = 0.35
 FRAGMENTS = 8
-#: N-grams of one bucket of the first count; documents and bytes of a batch that sends an n-gram once.
-BUCKET_GRAMS = 2_000_000
+#: N-grams of one bucket of the first count, classes whose counts are summed together; documents and bytes of a batch that sends an n-gram once.
+BUCKET_GRAMS, PART_CLASSES = 2_000_000, 1_000_000
 BATCH_ROWS, BATCH_BYTES = 16_384, 32 << 20
 
 
@@ -174,19 +174,40 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
 
 
-def _shared_in_bucket(rows: pa.Table) -> pa.Table:
-    """key, shared: how many n-grams of the bucket a class shares with another (too high for copies of one class, never too low)."""
-    g, key = _joined(rows["grams"], np.uint64), _joined(rows["keys"], np.int64)
-    order = np.argsort(g)
-    g, key = g[order], key[order]
-    at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-    least, most = (f.reduceat(key, at) if len(g) else key for f in (np.minimum, np.maximum))
-    several = (least != most) | (least == 0)
-    hit = key[np.repeat(several, np.diff(np.r_[at, len(g)]))]
-    names = np.r_[hit[hit != 0], _joined(rows["own"], np.int64)]
-    times = np.r_[np.ones(np.count_nonzero(hit), np.int64), _joined(rows["counts"], np.int64)]
+def _summed(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     names, where = np.unique(names, return_inverse=True)
-    return pa.table([pa.array(names), pa.array(np.bincount(where, times, len(names)).astype(np.int64))], ["key", "shared"])
+    return names, np.bincount(where, times, len(names)).astype(np.int64)
+
+
+def _shared_in_bucket(parts: int):
+    """How many n-grams of the bucket each class shares with another (too high for copies of one class, never too low).
+
+    One row for each part of the classes, which are dealt by their key: part, keys, counts.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        g, key = _joined(rows["grams"], np.uint64), _joined(rows["keys"], np.int64)
+        order = np.argsort(g)
+        g, key = g[order], key[order]
+        at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+        least, most = (f.reduceat(key, at) if len(g) else key for f in (np.minimum, np.maximum))
+        several = (least != most) | (least == 0)
+        hit = key[np.repeat(several, np.diff(np.r_[at, len(g)]))]
+        hit = hit[hit != 0]
+        names, times = _summed(np.r_[hit, _joined(rows["own"], np.int64)], np.r_[np.ones(len(hit), np.int64), _joined(rows["counts"], np.int64)])
+        part = names % parts
+        order = np.argsort(part, kind="stable")
+        names, times, part = names[order], times[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+        return pa.table([pa.array(np.arange(parts, dtype=np.int32)), blob(names), blob(times)], ["part", "keys", "counts"]).filter(pa.array(np.diff(cuts) > 0))
+
+    return run
+
+
+def _shared_in_all(rows: pa.Table) -> pa.Table:
+    names, times = _summed(_joined(rows["keys"], np.int64), _joined(rows["counts"], np.int64))
+    return pa.table([pa.array(names), pa.array(times)], ["counted_key", "shared"])
 
 
 def _grams(n: int):
@@ -218,9 +239,10 @@ def _survivors(source: DataFrame, sets: DataFrame, n: int, percent: int) -> Data
     low = sets.agg(F.sum("low")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-low // BUCKET_GRAMS))
     entries = source.select("text").mapInArrow(_entries(n, buckets), _ENTRIES)
-    counted = entries.groupBy("bucket").applyInArrow(lambda rows: _shared_in_bucket(rows), "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // PART_CLASSES))
+    counted = entries.groupBy("bucket").applyInArrow(_shared_in_bucket(parts), "part int, keys binary, counts binary")
+    counted = counted.groupBy("part").applyInArrow(lambda rows: _shared_in_all(rows), "counted_key long, shared long")
     classes = sets.where("sig IS NOT NULL").groupBy("sig", "n", "low", "key").agg(F.min("rid").alias("rid"))
-    counted = counted.withColumnRenamed("key", "counted_key")
     joined = classes.join(counted, F.when(F.col("key") == 0, F.lit(1)).otherwise(F.col("key")) == F.col("counted_key"), "left")
     return joined.where(100 * (F.col("n") - F.col("low") + F.coalesce("shared", F.lit(0))) >= percent * F.col("n")).select("rid", "sig")
 
