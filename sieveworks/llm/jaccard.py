@@ -259,24 +259,41 @@ def _ordered(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return done
 
 
-def _fragments(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments of the classes, cut at pivots of the global order (sig, frag, grams), and their sizes (sig, sizes)."""
-    place = lambda x: x["c"].cast("long") * 4096 + F.shiftrightunsigned(x["gram"], 52)
+def _segments(pivots: np.ndarray):
+    """The classes' n-grams cut at places of the order: sig, sizes of the segments, the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            o = batch.column(1)
+            flat = o.flatten()
+            gram = flat.field("gram").to_numpy()
+            place = flat.field("c").to_numpy().astype(np.int64) * 4096 + (gram >> 52) + 2048
+            row = np.repeat(np.arange(batch.num_rows), np.diff(o.offsets.to_numpy()))
+            sizes = np.bincount(row * FRAGMENTS + np.searchsorted(pivots, place, "right"), minlength=batch.num_rows * FRAGMENTS)
+            ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends(sizes), pa.array(gram))
+            each = np.full(batch.num_rows, FRAGMENTS)
+            columns = [batch.column(0), pa.ListArray.from_arrays(ends(each), pa.array(sizes.astype(np.int32))), pa.ListArray.from_arrays(ends(each), lists)]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "sizes", "segments"])
+
+    return run
+
+
+def _fragments(ordered: DataFrame) -> DataFrame:
+    """Segments of the classes, cut at pivots of the global order: sig, sizes, segments. The order is by c, then gram."""
+    place = F.col("x.c").cast("long") * 4096 + F.shiftright("x.gram", 52) + 2048
     share = [i / FRAGMENTS for i in range(1, FRAGMENTS)]
-    pivots = ordered.select(F.explode("o").alias("x")).agg(F.percentile_approx(place(F.col("x")), share, 1000)).first()[0] or []
-    number = lambda x: sum([(place(x) >= F.lit(p)).cast("int") for p in pivots], F.lit(0))
-    segments = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda i: F.transform(F.filter("o", lambda x: number(x) == i), lambda x: x["gram"]))
-    cutted = cut(ordered.select("sig", F.posexplode(segments).alias("frag", "grams")), "fragments")
-    sizes = ordered.select("sig", F.aggregate("o", F.array_repeat(F.lit(0), FRAGMENTS), lambda acc, x: F.transform(acc, lambda v, i: v + (i == number(x)).cast("int"))).alias("sizes"))
-    return cutted, sizes
+    pivots = ordered.select(F.explode("o").alias("x")).agg(F.percentile_approx(place, share, 1000)).first()[0] or []
+    made = ordered.select("sig", "o").mapInArrow(_segments(np.array(pivots, np.int64)), "sig binary, sizes array<int>, segments array<array<long>>")
+    return cut(made, "fragments")
 
 
-def _verify(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are similar: overlaps are counted per fragment and summed, where the segments' sizes allow as much."""
-    a, b = (sizes.select(F.col("sig").alias(k), F.col("sizes").alias(f"sizes_{k}")) for k in "ab")
+    a, b = (fragments.select(F.col("sig").alias(k), F.col("sizes").alias(f"sizes_{k}")) for k in "ab")
     most = F.aggregate(F.zip_with("sizes_a", "sizes_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = pairs.distinct().join(a, "a").join(b, "b").where(similar(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
-    left, right = (fragments.select(F.col("sig").alias(k), "frag", F.col("grams").alias(f"grams_{k}")) for k in "ab")
+    left, right = (fragments.select(F.col("sig").alias(k), F.posexplode("segments").alias("frag", f"grams_{k}")) for k in "ab")
     part = F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("part")
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "n_a", "n_b", part)
     return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
@@ -324,16 +341,16 @@ def _named(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets = cut(source.mapInArrow(_sizes(n), "doc_id long, rid binary, n long, low long, sig binary, key long"), "sets")
     chosen = cut(_survivors(source, sets, n, percent), "survivors")
     ordered = _ordered(source.select("rid", "text").join(chosen, "rid").select("text", "sig"), n, percent)
-    fragments, sizes = _fragments(ordered)
+    fragments = _fragments(ordered)
     prefix = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - alone as int)")
     # classes of sizes within a factor of 1 / 0.8 meet in one of two size classes
     size_class = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
     rows = ordered.select("sig", "n", "alone", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("i", "x"))
     rows = rows.select("sig", "n", "alone", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.gram").alias("gram"), size_class.alias("c"))
     members = cut(rows.withColumn("k", F.explode(F.array("c", F.col("c") + 1))), "members")
-    links = cut(_verify(_with_leaders(members, percent), fragments, sizes, percent), "links")
+    links = cut(_verify(_with_leaders(members, percent), fragments, percent), "links")
     roots = components(links)
-    rest = cut(_verify(_between_roots(members, roots, percent), fragments, sizes, percent), "rest")
+    rest = cut(_verify(_between_roots(members, roots, percent), fragments, percent), "rest")
     if not rest.isEmpty():
         roots = components(links.unionByName(rest))
     named = sets.select("doc_id", "rid", "n", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
