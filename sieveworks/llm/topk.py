@@ -53,28 +53,45 @@ class Lists:
     """One list per dimension of a block of vectors, sorted once and read from either end, never by item."""
 
     def __init__(self, v: np.ndarray):
-        self.items = np.argsort(v, axis=0, kind="stable")
-        self.values = np.take_along_axis(v, self.items, 0).astype(np.float64)
+        self.items = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(np.ascontiguousarray(v.T), self.items, 1).astype(np.float64)
         self.read = 0
 
-    def bounds(self, q: np.ndarray, depth: int, before: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of every item's score after `depth` entries of each list, `before` of them read earlier.
-
-        A positive weight reads its list from the largest value down, a negative one from the smallest up. For the
-        lists in which an item was not seen, the upper bound takes their frontier and the lower bound their last value.
-        """
-        n = len(self.items)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        self.read += (depth - before) * (len(up) + len(down))
-        at = np.concatenate([self.items[n - depth :, up].ravel(), self.items[:depth, down].ravel()])
-        weight = np.concatenate([q[up], q[down]]).astype(np.float64)
-        part = np.concatenate([(self.values[n - depth :, up] * q[up]).ravel(), (self.values[:depth, down] * q[down]).ravel()])
-        front = weight * np.concatenate([self.values[n - depth, up], self.values[depth - 1, down]])
-        last = weight * np.concatenate([self.values[0, up], self.values[n - 1, down]])
-        each = lambda x: np.concatenate([np.broadcast_to(x[: len(up)], (depth, len(up))).ravel(), np.broadcast_to(x[len(up) :], (depth, len(down))).ravel()])
-        lower = np.bincount(at, part - each(last), n) + last.sum()
-        upper = np.bincount(at, part - each(front), n) + front.sum()
-        return lower, upper
+
+class Reading:
+    """What one query has read of the lists, and the bounds that follow.
+
+    A positive weight reads its list from the largest value down, a negative one from the smallest up. For the
+    lists in which an item was not seen, the upper bound takes their frontier and the lower bound their last value.
+    """
+
+    def __init__(self, lists: Lists, q: np.ndarray):
+        self.lists, self.depth, self.n = lists, 0, lists.items.shape[1]
+        self.up, self.down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        self.weight = np.concatenate([q[self.up], q[self.down]]).astype(np.float64)
+        self.last = self.weight * self._values(self.n - 1)
+        self.lower = np.full(self.n, self.last.sum())
+        self.seen: list[tuple[np.ndarray, int]] = []
+
+    def _values(self, place: int) -> np.ndarray:
+        return np.concatenate([self.lists.values[self.up, self.n - 1 - place], self.lists.values[self.down, place]])
+
+    def to(self, depth: int) -> None:
+        """Read every list on, as far as `depth` entries."""
+        top, low = slice(self.n - depth, self.n - self.depth), slice(self.depth, depth)
+        at = np.concatenate([self.lists.items[self.up, top], self.lists.items[self.down, low]]).ravel()
+        value = np.concatenate([self.lists.values[self.up, top], self.lists.values[self.down, low]])
+        self.lower += np.bincount(at, (value * self.weight[:, None] - self.last[:, None]).ravel(), self.n)
+        self.seen.append((at, depth - self.depth))
+        self.lists.read += len(at)
+        self.depth = depth
+
+    def upper(self) -> np.ndarray:
+        gap = self.weight * self._values(self.depth - 1) - self.last
+        out = self.lower + gap.sum()
+        for at, step in self.seen:
+            out -= np.bincount(at, np.repeat(gap, step), self.n)
+        return out
 
 
 def top_k(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, count: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,17 +115,18 @@ def top_k(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
         n = len(part)
         lists = Lists(part)
         for i in range(len(q)):
-            open_items = ids != q_ids[i]
-            depth, before = max(1, n // 8), 0
-            while True:
-                lower, upper = lists.bounds(q[i], depth, before)
-                lower, upper = np.where(open_items, lower - slack, -np.inf), np.where(open_items, upper + slack, -np.inf)
-                if not before:  # the most promising ones set the bar
-                    first = np.argpartition(-upper, min(k, n - 1))[: k + 1]
+            mine = ids == q_ids[i]
+            reading, open_items = Reading(lists, q[i]), ~mine
+            for eighths in (1, 3, 5, 6, 7, 8):
+                depth = max(1, n * eighths // 8)
+                if depth > reading.depth:
+                    reading.to(depth)
+                upper, lower = reading.upper() + slack, np.where(mine, -np.inf, reading.lower - slack)
+                if eighths == 1:  # the most promising ones set the bar
+                    first = np.argpartition(-lower, min(k, n - 1))[: k + 1]
                     first = first[open_items[first]]
                     resolve(i, part, ids, first)
                     open_items[first] = False
-                    lower[first] = upper[first] = -np.inf
                 bar = float(best[i, k - 1]) if best[i, k - 1] > low else -np.inf
                 if n > k:
                     bar = max(bar, np.partition(lower, n - k)[n - k])
@@ -116,7 +134,6 @@ def top_k(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
                 if len(rivals) <= max(8 * k, n // 4) or depth == n:
                     resolve(i, part, ids, rivals)
                     break
-                depth, before = min(n, depth + max(1, n // 8)), depth
         if count is not None:
             count.append(lists.read)
     for i in range(len(q)):
