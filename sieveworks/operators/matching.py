@@ -41,8 +41,8 @@ def not_in_vocabulary(rows: DataFrame, column: str, vocabulary: DataFrame, word:
 
 
 def described_by(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Rows with the columns of a small fixed table that shares their key."""
-    return rows.join(F.broadcast(table), key, how)
+    """Rows with the columns of a fixed table that shares their key; Spark broadcasts it where its size allows."""
+    return rows.join(table, key, how)
 
 
 def only_self_declares(refs: DataFrame, declared: DataFrame, owner: str, identity: list[str]) -> DataFrame:

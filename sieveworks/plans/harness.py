@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import names, predicates
@@ -251,10 +251,9 @@ SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN '
        CAST(regexp_extract(rule, '[0-9]+$') AS INTEGER), id) AS INTEGER) AS place, rule, id FROM ({_FINDINGS})
 """)
 def finding_order(spark, d):
-    # a total order is one partition by nature; it is the report's last step, after the listing caps
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     order = [rank, F.regexp_extract("rule", "^[A-Z]+", 0), F.regexp_extract("rule", "[0-9]+$", 0).cast("int"), F.col("id")]
-    return _findings(spark, d).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "rule", "id")
+    return windows.numbered(_findings(spark, d), order, "place").select("place", "rule", "id")
 
 
 @_query("""
@@ -315,9 +314,8 @@ FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationke
 def region_walk(spark, d):
     r, n, c = (_t(spark, d, t) for t in ("region", "nation", "customer"))
     tree = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    # numbering a whole forest needs one order over it
-    order = Window.orderBy("r_regionkey", "n_nationkey", "c_custkey")
-    return tree.select(F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), F.row_number().over(order).alias("preorder"), F.lit(2).alias("depth"))
+    placed = windows.numbered(tree, [F.col("r_regionkey"), F.col("n_nationkey"), F.col("c_custkey")], "preorder")
+    return placed.select(F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), "preorder", F.lit(2).alias("depth"))
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))")
@@ -377,13 +375,17 @@ def name_predicates(spark, d):
 
 
 @_query("""
-WITH g AS (SELECT list_sort(list(DISTINCT p_brand)) AS grp FROM part WHERE p_size = 7), o AS (SELECT grp, unnest(grp) AS own FROM g),
-n AS (SELECT grp, own, len(grp) AS n, least(len(grp) - 1, 5) AS k, list_position(grp, own) AS pos FROM o)
-SELECT own, coalesce(array_to_string(list_transform(range(0, k), lambda i: grp[(pos + i * greatest((n - 1) // greatest(k, 1), 1)) % n + 1]), ','), '') AS partners FROM n
+WITH d AS (SELECT DISTINCT p_size, p_brand FROM part),
+r AS (SELECT p_size, p_brand, row_number() OVER (PARTITION BY p_size ORDER BY p_brand) - 1 AS spot, count(*) OVER (PARTITION BY p_size) AS n FROM d),
+s AS (SELECT p_size, p_brand, spot, n, unnest(range(0, least(5, n - 1))) AS step FROM r),
+p AS (SELECT s.p_size, s.p_brand, string_agg(o.p_brand, ',' ORDER BY step) AS partners
+      FROM s JOIN r o ON s.p_size = o.p_size AND o.spot = (s.spot + 1 + step * greatest(1, s.n // 5)) % s.n GROUP BY ALL)
+SELECT d.p_size, d.p_brand AS own, coalesce(partners, '') AS partners FROM d LEFT JOIN p ON d.p_size = p.p_size AND d.p_brand = p.p_brand
 """)
 def collision_partners(spark, d):
-    g = _t(spark, d, "part").where("p_size = 7").agg(F.array_sort(F.collect_set("p_brand")).alias("grp"))
-    return g.select(F.explode("grp").alias("own"), "grp").select("own", F.array_join(windows.partners(F.col("grp"), F.col("own")), ",").alias("partners"))
+    g = _t(spark, d, "part").select("p_size", "p_brand").distinct().groupBy("p_size").agg(F.array_sort(F.collect_list("p_brand")).alias("grp"))
+    own = g.select("p_size", F.explode("grp").alias("own"), "grp")
+    return own.select("p_size", "own", F.array_join(windows.partners(F.col("grp"), F.col("own")), ",").alias("partners"))
 
 
 @_query("SELECT CASE WHEN ends_with(path, '.html') THEN 'html' WHEN regexp_matches(path, '\\.[a-z0-9]+$') THEN 'other' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^[^?#]*')) AS path FROM pages) GROUP BY ALL")
