@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from sieveworks.plans import harness
+from sieveworks.plans import delivered, harness
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -24,7 +24,7 @@ def rows(frame):
     return sorted((tuple(sorted((k, str(v) if v is not None else "") for k, v in r.items())) for r in frame))
 
 
-@pytest.mark.parametrize("name", sorted(harness.QUERIES))
+@pytest.mark.parametrize("name", sorted(harness.QUERIES | delivered.QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
     got = e.queries()[name](spark, SF)
     found = duck.execute(e.oracle_sql()[name])
