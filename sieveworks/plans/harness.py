@@ -383,9 +383,9 @@ p AS (SELECT s.p_size, s.p_brand, string_agg(o.p_brand, ',' ORDER BY step) AS pa
 SELECT d.p_size, d.p_brand AS own, coalesce(partners, '') AS partners FROM d LEFT JOIN p ON d.p_size = p.p_size AND d.p_brand = p.p_brand
 """)
 def collision_partners(spark, d):
-    g = _t(spark, d, "part").select("p_size", "p_brand").distinct().groupBy("p_size").agg(F.array_sort(F.collect_list("p_brand")).alias("grp"))
-    own = g.select("p_size", F.explode("grp").alias("own"), "grp")
-    return own.select("p_size", "own", F.array_join(windows.partners(F.col("grp"), F.col("own")), ",").alias("partners"))
+    own = _t(spark, d, "part").select("p_size", "p_brand").distinct()
+    found = own.join(windows.partners(own, ["p_size"], "p_brand"), ["p_size", "p_brand"], "left")
+    return found.select("p_size", F.col("p_brand").alias("own"), F.coalesce(F.array_join("partners", ","), F.lit("")).alias("partners"))
 
 
 @_query("SELECT CASE WHEN ends_with(path, '.html') THEN 'html' WHEN regexp_matches(path, '\\.[a-z0-9]+$') THEN 'other' ELSE 'none' END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^[^?#]*')) AS path FROM pages) GROUP BY ALL")

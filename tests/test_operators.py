@@ -78,9 +78,25 @@ def test_folders_are_capped_by_appearance(spark):
 
 
 def test_partners_are_spread(spark):
-    g = spark.createDataFrame([(list("abcdefgh"), "c"), (["a"], "a")], "g array<string>, o string")
-    got = [x.p for x in g.select(windows.partners(F.col("g"), F.col("o"), 3).alias("p")).collect()]
-    assert got == [["d", "f", "h"], []]
+    g = spark.createDataFrame([(1, x) for x in "hgfedcba" * 2] + [(2, "a"), (3, "a"), (3, "b"), (3, None), (None, "a")], "k int, name string")
+    got = {(x.k, x.name): x.partners for x in windows.partners(g, ["k"], "name", 3).collect()}
+    assert got[1, "c"] == ["d", "f", "h"] and got[1, "h"] == ["a", "c", "e"]
+    assert {k: v for k, v in got.items() if k[0] != 1} == {(3, "a"): ["b"], (3, "b"): ["a"]} and len(got) == 10
+
+
+def test_few_of_a_hot_key_are_kept_before_the_shuffle(spark):
+    rows = spark.range(5_000, numPartitions=4).select((F.col("id") % 1).cast("string").alias("rule"), (F.col("id") % 1).alias("container"), F.col("id").alias("seq"), F.lit(1).alias("size"))
+    got = windows.listing(rows, "rule", "container", "seq", "size", cap=5)
+    assert {x.state: x["count"] for x in got.groupBy("state").count().collect()} == {"listed": 5, "suppressed": 4_995}
+    assert plan(got).count("WindowGroupLimit") >= 2
+
+
+def test_null_keys_are_groups(spark):
+    rows = spark.createDataFrame([(None, "x/a"), (None, "y/b"), ("s", "x/c")], "s string, path string").withColumn("seq", F.monotonically_increasing_id()).withColumn("size", F.lit(1))
+    assert {x.s: (x.first_values, x.in_all) for x in grouping.first_few(rows, ["s"], "path", 1).collect()} == {None: (["x/a"], 2), "s": (["x/c"], 1)}
+    assert {x.s: x.folders for x in grouping.folders(rows, ["s"], "path", "seq").collect()} == {None: ["x", "y"], "s": ["x"]}
+    got = windows.listing(rows, "s", "s", "seq", "size", cap=1, budget=10)
+    assert sorted((x.s or "", x.state) for x in got.collect()) == [("", "listed"), ("", "suppressed"), ("s", "listed")]
 
 
 def test_empty_tables(spark):
