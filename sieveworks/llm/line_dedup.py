@@ -35,8 +35,12 @@ MIN_WORDS = 5
 _BLANK = " \t\n\v\f\r"
 
 
-def _rid(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.lit(7), F.col(doc_id), F.col(text))
+#: A document row by 128 bits of its id and text, so that no two of any corpus are taken for one.
+_RID = ["rid", "rid_b"]
+
+
+def _rid(doc_id: str, text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias(name) for seed, name in zip((7, 11), _RID)]
 
 
 def _place(doc_id: str) -> Column:
@@ -50,14 +54,14 @@ def _pieces(line: str) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int, short_equal: bool) -> DataFrame:
-    """rid, pos, place, h1, h2, n, line: the lines that are compared; n and line without surplus spaces."""
-    one = docs.where(F.col(text).isNotNull()).select(_rid(doc_id, text).alias("rid"), F.col(doc_id).alias("_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    """rid, rid_b, pos, place, h1, h2, n, line: the lines that are compared; n and line without surplus spaces."""
+    one = docs.where(F.col(text).isNotNull()).select(*_rid(doc_id, text), F.col(doc_id).alias("_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     long = _pieces("line") >= min_words
     one = one.where(long | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else long)
     trimmed = F.trim("line")
     words = F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, "  +", " ")).otherwise(trimmed)
-    one = one.select("rid", "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words.alias("line"))
-    return one.select("rid", "pos", "place", "h1", "h2", _pieces("line").alias("n"), "line")
+    one = one.select(*_RID, "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words.alias("line"))
+    return one.select(*_RID, "pos", "place", "h1", "h2", _pieces("line").alias("n"), "line")
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -112,11 +116,11 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_equal: bool = False) -> DataFrame:
-    """rid, pos, near: the lines that go, by document row and place; near: not equal to an earlier line."""
+    """rid, rid_b, pos, near: the lines that go, by document row and place; near: not equal to an earlier line."""
     lines = _lines(docs, doc_id, text, min_words, short_equal)
     halves = F.when(F.col("n") >= min_words, _halves(F.split("line", " ", -1), F.col("n")))  # null: compared as a whole only
-    narrow = lines.select("rid", "pos", "place", "h1", "h2", "n", halves.alias("k"))
-    narrow = cut(narrow.select("rid", "pos", "place", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
+    narrow = lines.select(*_RID, "pos", "place", "h1", "h2", "n", halves.alias("k"))
+    narrow = cut(narrow.select(*_RID, "pos", "place", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
     distinct = cut(
         narrow.groupBy("h1", "h2").agg(
             F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.max("place").alias("last_place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
@@ -146,9 +150,9 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     near = cut(near, "near")
     drop_cut(texts, found)
     gone = distinct.where("copies > 1 AND last_place > place").select("h1", "h2", F.col("place").alias("first")).join(near, ["h1", "h2"], "full_outer")
-    hit = narrow.select("rid", "pos", "place", "h1", "h2").join(gone, ["h1", "h2"])
+    hit = narrow.select(*_RID, "pos", "place", "h1", "h2").join(gone, ["h1", "h2"])
     equal = F.coalesce(F.col("place") > F.col("first"), F.lit(False))
-    out = cut(hit.where("near OR place > first").select("rid", "pos", (F.coalesce("near", F.lit(False)) & ~equal).alias("near")).distinct(), "gone")
+    out = cut(hit.where("near OR place > first").select(*_RID, "pos", (F.coalesce("near", F.lit(False)) & ~equal).alias("near")).distinct(), "gone")
     drop_cut(narrow, distinct, near)
     return out
 
@@ -159,8 +163,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     Only the places of lines that go are gathered per document; the text is filtered in place.
     """
     gone = duplicates(docs, doc_id, text, min_words, short_equal)
-    by_doc = gone.groupBy("rid").agg(F.collect_list("pos").alias("places"), F.sum(F.col("near").cast("int")).alias("n_near"))
-    joined = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), _rid(doc_id, text).alias("rid")).join(by_doc, "rid", "left")
+    by_doc = gone.groupBy(*_RID).agg(F.collect_list("pos").alias("places"), F.sum(F.col("near").cast("int")).alias("n_near"))
+    joined = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), *_rid(doc_id, text)).join(by_doc, _RID, "left")
     lines = F.split("body", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
     left = F.when(F.col("places").isNull(), F.col("body")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
