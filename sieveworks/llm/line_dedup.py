@@ -55,9 +55,9 @@ def _pieces(line: str) -> Column:
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int, short_equal: bool) -> DataFrame:
     """rid, rid_b, pos, place, h1, h2, n, line: the lines that are compared; n and line without surplus spaces."""
-    # the whole text is hashed once, below the explosion into lines
+    # the whole text is hashed once, below the explosion into lines; split gives no empty array, and _outer spares the filter that would split again
     whole = docs.where(F.col(text).isNotNull()).select(*_rid(doc_id, text), F.col(doc_id).alias("_id"), F.split(text, "\n", -1).alias("_parts"))
-    one = whole.select(*_RID, "_id", F.posexplode("_parts").alias("pos", "line"))
+    one = whole.select(*_RID, "_id", F.posexplode_outer("_parts").alias("pos", "line"))
     long = _pieces("line") >= min_words
     one = one.where(long | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else long)
     trimmed = F.trim("line")
