@@ -43,40 +43,50 @@ def _rid(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias(name) for seed, name in zip((7, 11), _RID)]
 
 
-def _place(doc_id: str) -> Column:
-    """One number that sorts by id, then place."""
+def _first_place(doc_id: str) -> Column:
+    """The place of a document's first line: one number that sorts by id, and with a line's place in the document added by id, then place."""
     first = F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(-(2**63)).cast("decimal(20,0)"))
-    return (first * F.lit(2**31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(31,0)")
+    return (first * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(31,0)")
 
 
 def _pieces(line: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int, short_equal: bool) -> DataFrame:
-    """rid, rid_b, pos, place, h1, h2, n, line: the lines that are compared; n and line without surplus spaces."""
+    """rid, rid_b, pos, place, h1, h2, line: the lines that are compared, as they stand in the texts."""
     # the whole text is hashed once, below the explosion into lines; split gives no empty array, and _outer spares the filter that would split again
-    whole = docs.where(F.col(text).isNotNull()).select(*_rid(doc_id, text), F.col(doc_id).alias("_id"), F.split(text, "\n", -1).alias("_parts"))
-    one = whole.select(*_RID, "_id", F.posexplode_outer("_parts").alias("pos", "line"))
+    whole = docs.where(F.col(text).isNotNull()).select(*_rid(doc_id, text), _first_place(doc_id).alias("_first"), F.split(text, "\n", -1).alias("_parts"))
+    one = whole.select(*_RID, "_first", F.posexplode_outer("_parts").alias("pos", "line"))
     long = _pieces("line") >= min_words
     one = one.where(long | (F.trim("line", F.lit(_BLANK)) != "") if short_equal else long)
+    place = (F.col("_first") + F.col("pos").cast("decimal(10,0)")).cast("decimal(31,0)")
+    return one.select(*_RID, "pos", place.alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line")
+
+
+def _without_surplus(lines: DataFrame, *columns: str) -> DataFrame:
+    """The columns, n and line: lines as words with one space between, and their number."""
     trimmed = F.trim("line")
     words = F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, "  +", " ")).otherwise(trimmed)
-    one = one.select(*_RID, "pos", _place("_id").alias("place"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words.alias("line"))
-    return one.select(*_RID, "pos", "place", "h1", "h2", _pieces("line").alias("n"), "line")
+    return lines.select(*columns, words.alias("line")).select(*columns, _pieces("line").alias("n"), "line")
+
 
+def _outer(line: str, count: Column) -> Column:
+    """The first words of a line, the last ones if count is negative."""
+    return F.call_function("substring_index", F.col(line), F.lit(" "), count)
 
-def _halves(words: Column, n: Column) -> Column:
-    """The half keys of a line, as the shorter (length n) and as the longer (length n - 1) of a pair."""
+
+def _halves(line: str, n: str) -> list[Column]:
+    """The half keys of a line, as the shorter (length n) and as the longer (length n - 1) of a pair.
+
+    A half is what stands before or after its space in the line itself; the words are not cut apart for it.
+    """
 
     def keys(m: Column) -> list[Column]:
-        h = F.floor(m / 2).cast("int")
-        return [
-            F.xxhash64(F.lit("first"), m, F.slice(words, F.lit(1), h)),
-            F.xxhash64(F.lit("second"), m, F.slice(words, n - (m - h) + 1, m - h)),
-        ]
+        h = F.shiftright(m, 1)
+        return [F.xxhash64(F.lit("first"), m, _outer(line, h)), F.xxhash64(F.lit("second"), m, _outer(line, h - m))]
 
-    return F.array(*keys(n), *keys(n - 1))
+    return [*keys(F.col(n)), *keys(F.col(n) - 1)]
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -120,9 +130,9 @@ def one_edit(a: Column, b: Column) -> Column:
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_equal: bool = False) -> DataFrame:
     """rid, rid_b, pos, near: the lines that go, by document row and place; near: not equal to an earlier line."""
     lines = _lines(docs, doc_id, text, min_words, short_equal)
-    halves = F.when(F.col("n") >= min_words, _halves(F.split("line", " ", -1), F.col("n")))  # null: compared as a whole only
-    narrow = lines.select(*_RID, "pos", "place", "h1", "h2", "n", halves.alias("k"))
-    narrow = cut(narrow.select(*_RID, "pos", "place", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(4)]), "lines")
+    halves = [F.when(F.col("n") >= min_words, k).alias(f"k{i}") for i, k in enumerate(_halves("line", "n"))]  # null: compared as a whole only
+    each = [*_RID, "pos", "place", "h1", "h2"]
+    narrow = cut(_without_surplus(lines, *each).select(*each, *halves), "lines")
     distinct = cut(
         narrow.groupBy("h1", "h2").agg(
             F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.max("place").alias("last_place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
@@ -132,8 +142,8 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     halves = distinct.select("h1", "h2", "place", F.explode(F.array(*[F.col(f"k{i}") for i in range(4)])).alias("k")).where("k IS NOT NULL")
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     members = cut(halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place")), "members")
-    texts = lines.select("h1", "h2", "place", "n", "line").join(members, ["h1", "h2", "place"])
-    texts = cut(texts.dropDuplicates(["h1", "h2"]), "texts")
+    texts = lines.select("h1", "h2", "place", "line").join(members, ["h1", "h2", "place"])
+    texts = cut(_without_surplus(texts.dropDuplicates(["h1", "h2"]), "h1", "h2", "place"), "texts")
     drop_cut(members)
     keys = cut(_neighbourhood(texts), "keys")
     least = keys.groupBy("key").agg(
@@ -167,11 +177,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     gone = duplicates(docs, doc_id, text, min_words, short_equal)
     by_doc = gone.groupBy(*_RID).agg(F.collect_list("pos").alias("places"), F.sum(F.col("near").cast("int")).alias("n_near"))
     joined = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), *_rid(doc_id, text)).join(by_doc, _RID, "left")
-    lines = F.split("body", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
-    left = F.when(F.col("places").isNull(), F.col("body")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # a column of its own: inside the lambda below the text would be split again for each of its lines
     own = [c for c in docs.columns if c not in ("_lines_gone", "_near_gone")]
+    fields = [F.col("row").getField(c).alias(f"_{i}") for i, c in enumerate(own)]
+    joined = joined.select(*fields, "body", "places", "n_near", F.when(F.col("places").isNotNull(), F.split("body", "\n", -1)).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places")
+    left = F.when(F.col("places").isNull(), F.col("body")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return joined.select(
-        *[(left if c == text else F.col("row").getField(c)).alias(c) for c in own],
+        *[(left if c == text else F.col(f"_{i}")).alias(c) for i, c in enumerate(own)],
         F.coalesce(F.size("places"), F.lit(0)).alias("_lines_gone"), F.coalesce("n_near", F.lit(0)).alias("_near_gone"),
     )

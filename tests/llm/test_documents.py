@@ -428,3 +428,24 @@ def test_boosting_learns_and_calibrates():
     assert ((p > 0.5) == y[600:]).mean() > 0.9
     t = threshold_for(p, y[600:], 0.98)
     assert y[600:][p >= t].mean() >= 0.98
+
+
+def test_no_line_costs_a_split_of_its_own(spark, monkeypatch):
+    """A text is split once for all of its lines, and the halves of a line are keys of what stands before and after a space."""
+    plans = []
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, name))
+    docs = spark.createDataFrame([(1, "a b c d e f\na b c d e  g"), (2, "x\n a b c d e f \nh i j k l")], "doc_id long, text string")
+    done = line_dedup.dedup(docs)
+    plans = {**dict(plans), "dedup": done._jdf.queryExecution().optimizedPlan().toString()}
+    assert plans["lines"].count("split(") == 1 and "slice(" not in plans["lines"] and "regexp_replace" not in plans["texts"].split("Join")[-1]
+    assert "lambdafunction" in plans["dedup"] and not re.search(r"lambdafunction\([^,]*split\(", plans["dedup"])
+    assert sorted((r.doc_id, r.text, r._lines_gone, r._near_gone) for r in done.collect()) == [(1, "a b c d e f", 1, 1), (2, "x\nh i j k l", 1, 1)]
+
+
+def test_half_keys_are_those_of_the_words(spark):
+    words = [f"w{i}" for i in range(8)]
+    lines = [w for n in range(5, 8) for w in [words[:n], *[words[:i] + ["x"] + words[i + 1 : n] for i in range(n)], *[words[:i] + ["y"] + words[i:n] for i in range(n + 1)]]]
+    rows = spark.createDataFrame([(i, " ".join(w), len(w)) for i, w in enumerate(lines)], "i int, line string, n int")
+    keys = {r.i: set(r[1:]) for r in rows.select("i", *line_dedup._halves("line", "n")).collect()}
+    want = [{x for m in (len(w), len(w) - 1) for x in (("first", m, *w[: m // 2]), ("second", m, *w[len(w) - (m - m // 2) :]))} for w in lines]
+    assert all(bool(keys[i] & keys[k]) == bool(want[i] & want[k]) for i in keys for k in keys)
