@@ -31,9 +31,9 @@ _NONE = np.iinfo(np.int32).max
 
 
 class PieceBpe:
-    """Encoder and decoder of one model file; keeps the ids of at most `cache_words` words."""
+    """Encoder and decoder of one model file; keeps the ids of at most `cache_words` words that were met lately and as many that were met before these."""
 
-    def __init__(self, model_file: str, cache_words: int = 250_000):
+    def __init__(self, model_file: str, cache_words: int = 125_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -50,8 +50,16 @@ class PieceBpe:
         ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == _NORMAL}
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in ids):
             raise ValueError("a piece crosses words")
-        self._char = {p: (i,) for p, i in ids.items() if len(p) == 1}
-        self._byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == _BYTE}
+        self._char = np.full(0x110000, -1, np.int32)  # the piece of a character, -1: it falls back to bytes
+        self._byte = np.full(256, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self._char[ord(p)] = i
+        for i, (p, _, kind) in enumerate(pieces):
+            if kind == _BYTE:
+                self._byte[int(p[3:5], 16)] = i
+        if self._byte.min() < 0:
+            raise ValueError("the model lacks a byte piece")
         order = {s: r for r, s in enumerate(sorted({s for p, s, kind in pieces if kind == _NORMAL}, reverse=True))}
         rank = np.full(len(pieces), _NONE, np.int32)
         for p, i in ids.items():
@@ -60,9 +68,11 @@ class PieceBpe:
         left, right, made = (np.array(x, np.int64) for x in ([a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())))
         self._n = len(pieces)
         keys = left * self._n + right
-        at = np.argsort(keys)
-        self._keys, self._made = keys[at], made[at].astype(np.int32)
-        self._rank = rank[self._made]
+        self._hash(keys)
+        self._made = np.zeros(len(self._keys), np.int32)
+        self._made[self._slots(keys)] = made
+        self._rank = np.full(len(self._keys), _NONE, np.int32)
+        self._rank[self._slots(keys)] = rank[made]
         self._single = np.zeros(len(pieces), bool)  # pieces whose merges go one at a time
         self._single[left[rank[made] <= rank[left]]] = True
         self._single[right[rank[made] <= rank[right]]] = True
@@ -75,43 +85,87 @@ class PieceBpe:
         self._is_byte = np.array([kind == _BYTE for _, _, kind in pieces])
         self._words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._most = cache_words
 
-    def _symbols(self, word: str) -> list[int]:
-        out: list[int] = []
-        for c in word:
-            found = self._char.get(c)
-            if found is None:
-                found = self._char[c] = tuple(self._byte[b] for b in c.encode("utf-8", "surrogatepass")) if len(self._char) < 1 << 17 else ()
-                if not found:
-                    del self._char[c]
-                    found = tuple(self._byte[b] for b in c.encode("utf-8", "surrogatepass"))
-            out.extend(found)
+    def _hash(self, keys: np.ndarray) -> None:
+        """An open-addressing table of the pairs: an empty slot holds -1, a pair lies at most `_steps` slots past its own."""
+        self._bits = max(4, int(len(keys)).bit_length() + 2)
+        self._keys = np.full(1 << self._bits, -1, np.int64)
+        left, self._steps = keys, 0
+        while len(left):
+            at = self._home(left, self._steps)
+            free = self._keys[at] < 0
+            self._keys[at[free]] = left[free]  # the last one of several for a slot has it
+            left = left[self._keys[at] != left]
+            self._steps += 1
+
+    def _home(self, keys: np.ndarray, step: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)
+        return (mixed.astype(np.int64) + step) & ((1 << self._bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the table holds each key; -1 for those it has not."""
+        at = self._home(keys, 0)
+        held = self._keys[at]
+        out = np.where(held == keys, at, -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        for step in range(1, self._steps):
+            if not len(todo):
+                break
+            at = self._home(keys[todo], step)
+            held = self._keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (held >= 0)]
         return out
 
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of all words in one array, and the word of each: a character's piece, or those of its UTF-8 bytes."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        symbols = self._char[points]
+        other = symbols < 0
+        if not other.any():
+            return symbols, word
+        unknown = points[other]
+        raw = np.frombuffer(unknown.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        times = np.ones(len(points), np.int64)
+        times[other] = 1 + (unknown >= 0x80) + (unknown >= 0x800) + (unknown >= 0x10000)
+        symbols = np.repeat(symbols, times)
+        symbols[np.repeat(other, times)] = self._byte[raw]
+        return symbols, np.repeat(word, times)
+
     def merge_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word, by merge rounds over one flat symbol array."""
-        each = [self._symbols(w) for w in words]
-        length = np.fromiter(map(len, each), np.int64, len(each))
-        symbols = np.fromiter((s for x in each for s in x), np.int32, int(length.sum()))
-        word = np.repeat(np.arange(len(words)), length)
-        done: list[np.ndarray] = [symbols[:0]] * len(words)
-        last = len(self._keys) - 1
+        ids, ends = self._merged(words)
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _pairs(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of the pair of each symbol in `at` and the next one."""
+        rank, made = np.full(len(at), _NONE, np.int32), np.zeros(len(at), np.int32)
+        inside = np.flatnonzero(at < len(symbols) - 1)
+        inside = inside[word[at[inside]] == word[at[inside] + 1]]
+        left = at[inside]
+        slot = self._slots(symbols[left].astype(np.int64) * self._n + symbols[left + 1])
+        hit = slot >= 0
+        rank[inside[hit]], made[inside[hit]] = self._rank[slot[hit]], self._made[slot[hit]]
+        return rank, made
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all words one after the other, and where those of each end."""
+        symbols, word = self._symbols(words)
+        rank, made = self._pairs(symbols, word, np.arange(len(symbols)))
+        done: list[tuple[np.ndarray, np.ndarray]] = [(word[:0], symbols[:0])]
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank = np.full(len(symbols), _NONE, np.int32)
-            made = np.zeros(len(symbols), np.int32)
-            key = symbols[:-1].astype(np.int64) * self._n + symbols[1:]
-            at = np.minimum(np.searchsorted(self._keys, key), last)
-            hit = np.flatnonzero((self._keys[at] == key) & (word[1:] == word[:-1]))
-            rank[hit], made[hit] = self._rank[at[hit]], self._made[at[hit]]
             least = np.minimum.reduceat(rank, starts)
             size = np.diff(np.r_[starts, len(symbols)])
             open_words = least != _NONE
-            for k in np.flatnonzero(~open_words):
-                done[word[starts[k]]] = symbols[starts[k] : starts[k] + size[k]]
-            take = (rank == np.repeat(least, size)) & (rank != _NONE)
-            at = np.flatnonzero(take)
+            stay = np.repeat(open_words, size)
+            if not open_words.all():
+                done.append((word[~stay], symbols[~stay]))
+            at = np.flatnonzero((rank == np.repeat(least, size)) & stay)
             if len(at):
                 # leftmost without overlap: every second one of a run of adjacent pairs
                 run = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
@@ -121,10 +175,16 @@ class PieceBpe:
                 alone = np.repeat(lone, np.diff(np.r_[np.flatnonzero(first), len(at)]))
                 at = at[np.where(alone, first, nth % 2 == 0)]
                 symbols[at] = made[at]
-            stay = np.repeat(open_words, size)
             stay[at + 1] = False
-            symbols, word = symbols[stay], word[stay]
-        return done
+            # only the pairs of a new symbol with its neighbours are others than before
+            fresh = np.zeros(len(symbols), bool)
+            fresh[at] = True
+            symbols, word, rank, made, fresh = symbols[stay], word[stay], rank[stay], made[stay], fresh[stay]
+            fresh[:-1] |= fresh[1:]
+            again = np.flatnonzero(fresh)
+            rank[again], made[again] = self._pairs(symbols, word, again)
+        of, flat = (np.concatenate(x) for x in zip(*done))
+        return flat[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(words))).tolist()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, int32."""
@@ -133,17 +193,25 @@ class PieceBpe:
             t = (t or "").replace(" ", SPACE)
             cut.append(self._words.findall(SPACE + t if t and self.prefix else t))
         if len(self._known) > self._most:
-            self._known.clear()
-        new = list({w for words in cut for w in words if w not in self._known})
-        room: dict[str, bytes] = {}
+            self._known, self._before = {}, self._known
+        known, before, room = self._known, self._before, {}
+        met = {w for words in cut for w in words if w not in known}
+        new = []
+        for w in met:
+            found = before.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                room[w] = found
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            room.update(zip(part, (x.tobytes() for x in self.merge_words(part))))
-        if len(self._known) + len(room) <= 2 * self._most:
-            self._known.update(room)
-            get = self._known.__getitem__
+            ids, ends = self._merged(part)
+            raw = ids.tobytes()
+            room.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends], ends))
+        if len(known) + len(room) <= 2 * self._most:
+            known.update(room)
+            get = known.__getitem__
         else:
-            known = self._known
             get = lambda w: known.get(w) if w in known else room[w]
         return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
 

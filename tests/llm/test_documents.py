@@ -449,3 +449,26 @@ def test_half_keys_are_those_of_the_words(spark):
     keys = {r.i: set(r[1:]) for r in rows.select("i", *line_dedup._halves("line", "n")).collect()}
     want = [{x for m in (len(w), len(w) - 1) for x in (("first", m, *w[: m // 2]), ("second", m, *w[len(w) - (m - m // 2) :]))} for w in lines]
     assert all(bool(keys[i] & keys[k]) == bool(want[i] & want[k]) for i in keys for k in keys)
+
+
+def test_words_in_use_outlive_a_full_cache(monkeypatch):
+    coder, merged = piece_bpe.PieceBpe(PIECE, cache_words=100), collections.Counter()
+    one = coder._merged
+    monkeypatch.setattr(coder, "_merged", lambda words: merged.update(words) or one(words))
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for i in range(20):
+        text = "common words stay " + " ".join(f"w{i}x{k}é漢🙂\U000e0001" for k in range(60))
+        assert coder.encode([text])[0].tolist() == library.encode(text)
+    assert merged["▁words"] == 1 and max(merged.values()) == 1 and len(merged) == 1203
+
+
+def test_pairs_are_looked_up_again_only_beside_a_merge(monkeypatch):
+    coder, looked = piece_bpe.PieceBpe(PIECE), []
+    one = coder._pairs
+    monkeypatch.setattr(coder, "_pairs", lambda symbols, word, at: looked.append(len(at)) or one(symbols, word, at))
+    words = ["▁internationalisation", "▁a", "▁" * 40, "\n", "aaaaaaaaaaaaaaaa"]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    got = [x.tolist() for x in coder.merge_words(words)]
+    assert got[0] == library.encode("internationalisation") and got[1] == library.encode("a") and coder.merge_words([]) == []
+    symbols, merges = sum(map(len, words)), sum(map(len, words)) - sum(map(len, got))
+    assert looked[0] == symbols and sum(looked[1:]) <= 2 * merges
